@@ -50,23 +50,32 @@ def words(text: str) -> list[str]:
     return out
 
 
-#: Words (each hanzi one) and sentences that hold any, as patterns of the JVM.
-_UNIT = "[㐀-鿿豈-﫿]|[\\p{L}&&[^㐀-鿿豈-﫿]]+"
-_SENTENCE = "\\p{L}[^.!?。！？\\n]*"
+_SENTENCE = re.compile("[^\\W\\d_][^.!?。！？\\n]*")
 
 
-def sentence_length(text: str):
-    """Average words (hanzi) a sentence of column `text`; null without words."""
-    n, k = F.regexp_count(text, F.lit(_UNIT)), F.regexp_count(text, F.lit(_SENTENCE))
-    return F.when(n > 0, n / k)
+def sentence_length(text: str) -> float | None:
+    """Average words (hanzi count one each) a sentence; None without words."""
+    n = sum(len(w) if w >= "㐀" else 1 for w in _WORD.findall(text))
+    return n / len(_SENTENCE.findall(text)) if n else None
 
 
 def _chinese(text: str) -> bool:
     return sum(map(len, _HAN.findall(text))) * 4 > len(text)
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(l, word, df) of docs (t, l): in how many documents of a language a word stands; the word '' counts the documents.
+def plain_limits(docs: DataFrame, plain: float = PLAIN_SHARE) -> dict[str, float]:
+    """Of docs (t, l), per language the sentence length up to which documents count as plainly written; one number a language code."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sentence_length(t) for t in b.column(0).to_pylist()], pa.float64())], names=["l", "s"])
+
+    lengths = docs.select("t", "l").mapInArrow(run, "l string, s double").where("s is not null")
+    return dict(lengths.groupBy("l").agg(F.percentile_approx("s", F.lit(plain), F.lit(10000))).collect())
+
+
+def document_frequencies(docs: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(l, word, df) of docs (t, l) within the limits: in how many documents of a language a word stands; the word '' counts the documents.
 
     Workers count before the shuffle.
     """
@@ -82,7 +91,9 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for t, la in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(la, Counter()).update({"", *words(t)})
+                s = sentence_length(t)
+                if s is not None and s <= limits.get(la, 0):
+                    held.setdefault(la, Counter()).update({"", *words(t)})
             if sum(map(len, held.values())) > HELD:
                 yield rows()
         yield rows()
@@ -92,9 +103,8 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 def familiar_words(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = FAMILIAR_SHARE, plain: float = PLAIN_SHARE, most: int = FAMILIAR_WORDS) -> DataFrame:
     """(l, word): the familiar words of each language, at most `most`."""
-    part = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), sentence_length(text).alias("s")).where("s is not null and l is not null")
-    limit = part.groupBy("l").agg(F.percentile_approx("s", F.lit(plain), F.lit(10000)).alias("limit"))
-    df = document_frequencies(part.join(limit, "l").where("s <= limit"))
+    part = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    df = document_frequencies(part, plain_limits(part, plain))
     of = Window.partitionBy("l")
     frequent = df.withColumn("n", F.max(F.when(F.col("word") == "", F.col("df"))).over(of)).where((F.col("word") != "") & (F.col("df") >= share * F.col("n")))
     rank = F.row_number().over(of.orderBy(F.desc("df"), "word"))
@@ -113,22 +123,22 @@ def reading_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     def one(t, la):
         ws = words(t) if t else []
         if not ws:
-            return la, None
+            return la, None, None
         if la not in known.value:
             wide = _chinese(t)
             fit = [(sum(w in x for w in ws), name) for name, x in known.value.items() if (name[:2] == "zh") == wide]
             la = max(fit, default=(0, la))[1]
         familiar = known.value.get(la, set())
-        return la, sum(w not in familiar for w in ws) / len(ws)
+        return la, sum(w not in familiar for w in ws) / len(ws), sentence_length(t)
 
     def run(batches):
         for b in batches:
             rows = [one(t, la) for t, la in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            la, other = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(la, pa.string()), pa.array(other, pa.float64()), b.column(3)], names=[key, "lang", "unfamiliar_share", "sentence_length"])
+            la, other, length = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(la, pa.string()), pa.array(other, pa.float64()), pa.array(length, pa.float64())], names=[key, "lang", "unfamiliar_share", "sentence_length"])
 
     level = BASE + PERCENT * 100 * F.col("unfamiliar_share") + LENGTH * F.col("sentence_length")
-    return docs.select(key, text, lang, sentence_length(text).alias("s")).mapInArrow(run, schema).withColumn("level", level)
+    return docs.select(key, text, lang).mapInArrow(run, schema).withColumn("level", level)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
