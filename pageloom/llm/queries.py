@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import charforms, consensus, encoding, grouping, packing, readability, tokens
+from . import boilerplate, charforms, consensus, encoding, grouping, overlap, packing, readability, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         charforms.p1_found, charforms.p1_normalized,
+        overlap.p2_found, overlap.p2_sources,
         grouping.p3_found, grouping.p3_splits,
         encoding.p5_found, encoding.p5_restored,
+        boilerplate.p6_found, boilerplate.p6_families, boilerplate.p6_cleaned,
         consensus.p7_found, consensus.p7_reliability, consensus.p7_agreement,
         tokens.p8_ids, tokens.p8_roundtrip,
         packing.p9_packed, packing.p9_fill,
