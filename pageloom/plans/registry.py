@@ -6,9 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def collect(*modules) -> tuple[dict[str, Query], dict[str, str]]:
+    """The queries of `modules`, and the SQL of those that have some."""
+    queries: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    for m in modules:
+        queries |= m.QUERIES
+        sql |= m.SQL
+    return queries, sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["bm25_topk"](spark, sf_dir)
+    from . import retrieval
+
+    return retrieval.bm25_topk(spark, sf_dir)
+
+
+def _all() -> tuple[dict[str, Query], dict[str, str]]:
+    from . import comparison, governance, pages, retrieval, segmentation, spans
+
+    return collect(pages, segmentation, retrieval, spans, governance, comparison)
+
+
+QUERIES, SQL = _all()
