@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +43,25 @@ def materialized(df: DataFrame) -> DataFrame:
 _own: str | None = None
 
 
+#: Characters of texts that a worker looks at together; longer texts are looked at alone, whole.
+TOGETHER = 1_000_000
+
+
+def parts(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with the values of column `text`, of about TOGETHER characters at most, so that memory doesn't follow the rows of a batch."""
+    for batch in batches:
+        values = batch.column(text).to_pylist()
+        start = size = 0
+        for i, v in enumerate(values):
+            n = len(v or "")
+            if i > start and size + n > TOGETHER:
+                yield batch.slice(start, i - start), values[start:i]
+                start, size = i, 0
+            size += n
+        if len(values) > start:
+            yield batch.slice(start), values[start:]
+
+
 def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Apply `function`, from a batch to column dicts, to each Arrow batch of `df`."""
     arrow = _arrow_schema(df.sparkSession, schema)

@@ -20,19 +20,31 @@ _NUMBER = re.compile(
 )
 
 
+_SIGN = re.compile("[0-9页:]|\\bp")
+
+
 def is_page_number(line: str) -> bool:
     """Whether `line` holds nothing but a page's number, in one of the usual forms, perhaps with misread digits."""
-    s = folded(line).strip()
-    return 0 < len(s) <= 24 and _NUMBER.fullmatch(s) is not None
+    return _page_number(folded(line))
+
 
+def _page_number(line: str) -> bool:
+    s = line.strip()
+    return 0 < len(s) <= 24 and _SIGN.search(s) is not None and _NUMBER.fullmatch(s) is not None
 
-def _plain(text: str) -> str:
-    return re.sub(r"[\W_]+", "", folded(text))
+
+_MARKS = re.compile(r"[\W_]+")
 
 
 @lru_cache(4096)
-def _name(name: str) -> tuple[str, str]:
-    return _plain(name), _plain(re.split("[·•|]", name)[-1])
+def _name(name: str) -> tuple[str, tuple[str, ...]]:
+    """The name's letters, and short pieces of its words of which a damaged copy keeps most."""
+    low = folded(name)
+    pieces = []
+    for w in _MARKS.split(low):
+        k = 2 if w > "⺀" else 4
+        pieces += [w[i : i + k] for i in range(0, len(w) - k + 1, k)] or ([w] if w else [])
+    return _MARKS.sub("", low), tuple(pieces)
 
 
 def _within(pattern: str, text: str, most: int) -> bool:
@@ -59,17 +71,28 @@ def _within(pattern: str, text: str, most: int) -> bool:
 
 
 #: A running header has at most so many times the letters of the name, plus ROOM for a section title.
-ROOM = 60
+TIMES, ROOM = 4, 60
 
 
 def is_running_header(line: str, name: str | None) -> bool:
     """Whether `line` repeats the source's name, perhaps damaged, cut or with additions such as a section title or a page number."""
-    if not name or len(line) > 4 * len(name) + ROOM:
+    return bool(name) and _header(folded(line), name)
+
+
+def _header(line: str, name: str) -> bool:
+    if len(line) > TIMES * len(name) + ROOM:
+        return False
+    whole, pieces = _name(name)
+    if len(whole) < 4 or sum(p in line for p in pieces) * 3 < len(pieces):
         return False
-    whole, _ = _name(name)
-    s = _plain(line)
-    if len(whole) < 4 or len(s) < len(whole) * 0.6:
+    s = _MARKS.sub("", line)
+    if len(s) < len(whole) * 0.6:
         return False
-    if whole in s:
-        return True
-    return _within(whole, s[: len(whole) + ROOM], max(1, len(whole) // 5))
+    return whole in s or _within(whole, s[: len(whole) + ROOM], max(1, len(whole) // 5))
+
+
+def line_kinds(text: str, name: str | None) -> tuple[list[str], list[bool], list[bool]]:
+    """The folded lines of `text`, whether each is a page number, and whether it's a running header; the text is folded once."""
+    lines = folded(text).split("\n")
+    number = [_page_number(x) for x in lines]
+    return lines, number, [bool(name) and not n and _header(x, name) for x, n in zip(lines, number)]
