@@ -1,14 +1,15 @@
 """Same or nearly same records across splits.
 
-The texts are concatenated, without layout and repeated lines, into a sparse
-suffix array: suffixes start at anchors chosen by their content (local minima
-of a rolling hash), so that equal spans have equal anchors wherever they stand.
-Suffixes are partitioned by their first PREFIX characters and sorted within a
-partition by longer prefixes; neighbours of different splits share a long
-common prefix and make a candidate pair. The shared spans of a pair are added
-up to its coverage of the shorter record; pairs above the least coverage are
-compared exactly by edit distance. Records with the same body are one class;
-class pairs are compared once and expanded to the pairs asked for.
+The texts are concatenated, without layout, into a sparse suffix array: suffixes
+start at anchors chosen by their content (local minima of a rolling hash), so
+that equal spans have equal anchors wherever they stand. Suffixes are
+partitioned by their first PREFIX characters and sorted within a partition by
+longer prefixes; neighbours of different splits share a long common prefix and
+make a candidate pair. The shared spans of a pair are added up to its coverage
+of the record with fewer anchors; pairs above the least coverage are compared
+exactly by edit distance, without repeated lines, headers and page numbers.
+Records with the same body are one class; class pairs are compared once and
+expanded to the pairs asked for.
 
 Defined results: null, empty and unreadable texts (fewer than READABLE letters
 beyond replacement marks) are in no pair; sources without a split are in no
@@ -27,42 +28,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boilerplate
-from .base import map_batches, materialized, table
-from .charforms import folded
-from .furniture import is_page_number, is_running_header
+from .base import map_batches, materialized, parts, table
+from .furniture import line_kinds
 from .numeric import Batch, span_hash, sums, tables
 
 #: Anchors are minima over so many characters to both sides; characters of the rolling hash, and of the short and long prefix.
 WINDOW, GRAM, PREFIX, LONG_PREFIX = 16, 8, 32, 64
 #: Following neighbours in the sorted order that are compared.
 NEIGHBOURS = 6
-#: A candidate pair shares at least so many anchors, or this share of the shorter record's anchors.
-SHARED, COVERAGE = 2, 0.1
+#: Suffixes that share a prefix are a crowd beyond this number; weight of a link within one.
+CROWD, COMMON = 16, 0.2
+#: A candidate pair shares at least this share of the anchors of the record with fewer.
+COVERAGE = 0.12
 #: Records are alike if at most this share of the longer one's characters differs.
 DIFFER = 0.14
 #: Letters a readable record has at least.
 READABLE = 20
-#: Rows of a table, and hashes of repeated lines, that may be sent to every worker; beyond, a join or no exclusion is used.
-SENT_ROWS = 500_000
 
 _LOST = re.compile("(?:锟斤拷?|斤拷|锟|�)+[锟斤拷�]*")
 
 
-def anchors(texts: list[str | None], skip: np.ndarray) -> dict[str, np.ndarray]:
-    """row, prefix, longer prefix and number of the row's anchors, for each anchor; lines whose masked hash is in `skip` are left out."""
+def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
+    """row, prefix, longer prefix and number of the row's anchors, for each anchor."""
     b = Batch(texts)
     t = tables()
     space = t["space"][b.cp]
-    if len(skip):
-        lines = boilerplate.masked_lines(texts)
-        hit = np.isin(lines["exact"], skip)
-        newline = b.cp == 10
-        before = np.concatenate([[0], np.cumsum(newline)])[:-1]
-        first = np.searchsorted(b.row, np.arange(b.rows))
-        if len(before):
-            no = before - before[np.minimum(first, len(before) - 1)][b.row] + 1
-            at = b.row.astype(np.int64) << 32 | no
-            space |= np.isin(at, lines["row"][hit] << 32 | lines["line_no"][hit])
     space |= (b.cp == 0xFFFD) | (b.cp == 0x951F) | (b.cp == 0x65A4) | (b.cp == 0x62F7)  # marks of lost text
     b.take(~space)
     cp, row, n = b.cp, b.row, len(b.cp)
@@ -86,30 +76,47 @@ def anchors(texts: list[str | None], skip: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row[here].astype(np.int64), "prefix": span_hash(s, here, here + PREFIX).view(np.int64), "longer": (longer >> np.uint64(33)).astype(np.int32), "n": count[row[here]]}
 
 
+def _run_sizes(*columns) -> np.ndarray:
+    """Of each row the number of adjacent rows with the same values."""
+    change = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    start = np.flatnonzero(change)
+    size = np.diff(np.append(start, len(columns[0])))
+    return np.repeat(size, size)
+
+
 def adjacent_pairs(prefix, longer, record, side, n) -> tuple[np.ndarray, ...]:
-    """Candidate pairs (first of side 0, of side 1, least number of anchors) of suffixes in sorted order: the next NEIGHBOURS, and the nearest of the other side before each."""
+    """Candidate pairs of suffixes in sorted order: the next NEIGHBOURS, and the nearest of the other side before and after each.
+
+    Columns: the record of side 0, of side 1, the weight of the link, and the
+    least number of anchors. A link weighs 1 where few suffixes share the prefix
+    or the longer one, else COMMON: neighbours in a crowd are often strangers.
+    """
+    size = len(prefix)
+    if not size:
+        return (np.empty(0, np.int64),) * 4
     out = []
+    few, fewer = _run_sizes(prefix) <= CROWD, _run_sizes(prefix, longer) <= CROWD
 
     def add(i, j):
         x = np.where(side[i] == 0, i, j)
         y = np.where(side[i] == 0, j, i)
-        out.append((record[x], record[y], np.minimum(n[i], n[j])))
+        near = few[i] | fewer[i] & (longer[i] == longer[j])
+        out.append((record[x], record[y], np.where(near, 1.0, COMMON), np.minimum(n[i], n[j])))
 
-    size = len(prefix)
     at = np.arange(size)
     for k in range(1, min(NEIGHBOURS, size - 1) + 1):
         i = np.flatnonzero((prefix[k:] == prefix[:-k]) & (side[k:] != side[:-k]))
         add(i, i + k)
-    for s in (0, 1):  # the nearest of the other side before, farther than NEIGHBOURS
-        last = np.maximum.accumulate(np.where(side == s, at, -1)) if size else at
+    for s in (0, 1):  # the nearest of the other side, farther than NEIGHBOURS
+        last = np.maximum.accumulate(np.where(side == s, at, -1))
         i = np.flatnonzero((side != s) & (last >= 0))
         i = i[(at[i] - last[i] > NEIGHBOURS) & (prefix[i] == prefix[last[i]])]
         add(i, last[i])
-        after = size - 1 - np.maximum.accumulate(np.where(side[::-1] == s, at, -1))[::-1] if size else at
+        after = size - 1 - np.maximum.accumulate(np.where(side[::-1] == s, at, -1))[::-1]
         i = np.flatnonzero((side != s) & (after < size))
         i = i[(after[i] - at[i] > NEIGHBOURS) & (prefix[i] == prefix[np.minimum(after[i], size - 1)])]
         add(i, after[i])
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +124,13 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("source_id").agg(F.min(F.when(F.col("split") == "development", 0).otherwise(1)).alias("side"))
 
 
-def _sent_if_small(df: DataFrame) -> DataFrame:
-    """`df` with a broadcast hint if its rows are few; else the planner joins by shuffle."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
-def suffixes(pages: DataFrame, sides: DataFrame, skip: np.ndarray) -> DataFrame:
+def suffixes(pages: DataFrame, sides: DataFrame) -> DataFrame:
     """(prefix, longer, page_id, side, n) of the anchors of pages (page_id, source_id, text) that have a side."""
-    held = pages.where("text is not null").join(_sent_if_small(sides), "source_id").select("page_id", "side", "text")
-    sent = pages.sparkSession.sparkContext.broadcast(skip)
+    held = pages.where("text is not null").join(boilerplate.sent_if_small(sides), "source_id").select("page_id", "side", "text")
 
     def run(batches):
-        for b in batches:
-            a = anchors(b.column(2).to_pylist(), sent.value)
+        for b, texts in parts(batches, 2):
+            a = anchors(texts)
             rows = pa.array(a["row"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a["prefix"].astype(np.int64)), pa.array(a["longer"].astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows), pa.array(a["n"].astype(np.int32))],
@@ -141,8 +142,8 @@ def suffixes(pages: DataFrame, sides: DataFrame, skip: np.ndarray) -> DataFrame:
 
 def candidate_pairs(array: DataFrame) -> DataFrame:
     """(dev, held): pairs whose shared suffixes cover enough. `array` is partitioned by prefix and sorted within; groups are streamed, never held."""
-    order = F.xxhash64("page_id", "prefix")  # copies of one record mix, so that neighbours differ
-    parts = array.repartition(F.col("prefix")).withColumn("o", order).sortWithinPartitions("prefix", "longer", "o").drop("o")
+    # the same order in every group: neighbouring copies of one record are neighbours at all their anchors
+    ordered = array.repartition(F.col("prefix")).sortWithinPartitions("prefix", "longer", "page_id")
 
     def run(batches):
         kept = None
@@ -150,29 +151,30 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
             cols = [b.column(i).to_numpy() for i in range(5)]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
-            fresh = len(kept[0]) if kept is not None else 0
-            x, y, n = adjacent_pairs(cols[0], cols[1], cols[2], cols[3], cols[4])
-            del fresh
+            x, y, span, n = adjacent_pairs(*cols)
             kept = [c[-NEIGHBOURS:] for c in cols]
-            pair, first, times = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_counts=True) if len(x) else (np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times.astype(np.int32)), pa.array(n[first].astype(np.int32))], names=["dev", "held", "shared", "n"])
+            pair, first, inverse = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_inverse=True) if len(x) else (np.empty((0, 2), np.int64), x, x)
+            shared = np.bincount(inverse.ravel(), weights=span, minlength=len(pair))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared), pa.array(n[first].astype(np.int32))], names=["dev", "held", "shared", "n"])
 
-    pairs = parts.mapInArrow(run, "dev bigint, held bigint, shared int, n int")
+    pairs = ordered.mapInArrow(run, "dev bigint, held bigint, shared double, n int")
     total = pairs.groupBy("dev", "held").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
-    return total.where((F.col("shared") >= SHARED) | (F.col("shared") >= COVERAGE * F.col("n"))).select("dev", "held")
+    return total.where(F.col("shared") >= COVERAGE * F.col("n")).select("dev", "held")
 
 
 def body(text: str, name: str | None, drop: list[int] | None) -> str:
     """The comparable body of a page: folded, without layout, lost text, headers, page numbers and the lines `drop` (from 1)."""
     drop = set(drop or ())
-    kept = [x for i, x in enumerate(text.split("\n"), 1) if i not in drop and not is_page_number(x) and not is_running_header(x, name)]
-    return re.sub(r"\s+", "", folded(_LOST.sub("", "".join(kept))))
+    lines, number, header = line_kinds(text, name)
+    kept = [x for i, (x, n, h) in enumerate(zip(lines, number, header), 1) if not n and not h and i not in drop]
+    return re.sub(r"\s+", "", _LOST.sub("", "".join(kept)))
 
 
 def bodies(pages: DataFrame, names: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, body, class) of the pages `wanted` (page_id), one row each, readable ones only."""
+    wanted = boilerplate.sent_if_small(wanted)
     drop = lines.join(wanted, "page_id").groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    src = pages.join(wanted, "page_id").dropDuplicates(["page_id"]).join(names, "source_id", "left").join(drop, "page_id", "left").select("page_id", "text", "name", "drop")
+    src = pages.join(wanted, "page_id").dropDuplicates(["page_id"]).join(boilerplate.sent_if_small(names), "source_id", "left").join(drop, "page_id", "left").select("page_id", "text", "name", "drop")
 
     def run(batch):
         out: dict = {"page_id": [], "body": []}
@@ -220,22 +222,9 @@ def alike(a: str, b: str, differ: float = DIFFER) -> bool:
     return a == b or distance(a, b, most) <= most
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dev, held) page ids of all pairs of alike pages across the splits."""
-    pages = table(spark, sf_dir, "document_page").select("page_id", "source_id", "text")
-    sides = _sides(spark, sf_dir)
-    found = materialized(boilerplate.repeated_lines(spark, sf_dir).select("page_id", "line_no", "exact").distinct())
-    hot = found.select("exact").distinct()
-    skip = np.array([r[0] for r in hot.collect()], np.int64) if hot.count() <= SENT_ROWS else np.empty(0, np.int64)
-    pair = materialized(candidate_pairs(suffixes(pages, sides, skip)))
-    wanted = pair.select(F.explode(F.array("dev", "held")).alias("page_id")).distinct()
-    names = table(spark, sf_dir, "benchmark_source").groupBy("source_id").agg(F.min("source_name").alias("name"))
-    text = materialized(bodies(pages, names, found.select("page_id", "line_no"), wanted))
-    of = text.select("page_id", "class")
-    a, b = (of.select(F.col("page_id").alias(c), F.col("class").alias(f"class_{c}")) for c in ("dev", "held"))
-    classes = pair.join(a, "dev").join(b, "held").select(F.least("class_dev", "class_held").alias("x"), F.greatest("class_dev", "class_held").alias("y")).distinct()
-    one = text.groupBy("class").agg(F.min("body").alias("body"))
-    both = classes.where("x <> y").join(one.select(F.col("class").alias("x"), F.col("body").alias("p")), "x").join(one.select(F.col("class").alias("y"), F.col("body").alias("q")), "y")
+def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Those of class pairs (x, y) whose bodies are alike; `one` holds (class, body)."""
+    both = pairs.join(one.select(F.col("class").alias("x"), F.col("body").alias("p")), "x").join(one.select(F.col("class").alias("y"), F.col("body").alias("q")), "y")
     near = (1 - DIFFER) * F.greatest(F.length("p"), F.length("q")) <= F.least(F.length("p"), F.length("q")) + 1
 
     def run(batch):
@@ -243,9 +232,35 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep = [(x, y) for x, y, p, q in zip(*cols) if alike(p, q)]
         yield {"x": [k[0] for k in keep], "y": [k[1] for k in keep]}
 
-    verified = map_batches(both.where(near).select("x", "y", "p", "q"), "x bigint, y bigint", run)
-    verified = materialized(verified.unionByName(classes.where("x = y")))
-    side = of.join(pages.select("page_id", "source_id").join(wanted, "page_id").distinct(), "page_id").join(sides, "source_id")
+    return map_batches(both.where(near).select("x", "y", "p", "q"), "x bigint, y bigint", run)
+
+
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dev, held) page ids of all pairs of alike pages across the splits."""
+    pages = table(spark, sf_dir, "document_page").select("page_id", "source_id", "text")
+    sides = _sides(spark, sf_dir)
+    found = materialized(boilerplate.repeated_lines(spark, sf_dir).select("page_id", "line_no").distinct())
+    pair = materialized(candidate_pairs(suffixes(pages, sides)))
+    wanted = materialized(pair.select(F.explode(F.array("dev", "held")).alias("page_id")).distinct())
+    names = table(spark, sf_dir, "benchmark_source").groupBy("source_id").agg(F.min("source_name").alias("name"))
+    text = materialized(bodies(pages, names, found, wanted))
+    of = text.select("page_id", "class")
+    a, b = (of.select(F.col("page_id").alias(c), F.col("class").alias(f"class_{c}")) for c in ("dev", "held"))
+    classes = materialized(pair.join(a, "dev").join(b, "held").select(F.least("class_dev", "class_held").alias("x"), F.greatest("class_dev", "class_held").alias("y")).distinct())
+    one = materialized(text.groupBy("class").agg(F.min("body").alias("body")))
+    verified = materialized(_verified(classes.where("x <> y"), one).unionByName(classes.where("x = y")))
+    # in clusters with more members than neighbours, members at the far ends of a chain of three links are compared too
+    tried = classes
+    while True:
+        link = verified.unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct()
+        two = link.alias("a").join(link.alias("b"), F.col("a.y") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.y").alias("y")).where("x <> y").distinct()
+        far = two.alias("a").join(link.alias("b"), F.col("a.y") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.y").alias("y")).unionByName(two).where("x < y").distinct()
+        fresh = materialized(far.join(tried, ["x", "y"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        verified = materialized(verified.unionByName(_verified(fresh, one)))
+        tried = materialized(tried.unionByName(fresh))
+    side = of.join(pages.select("page_id", "source_id").join(boilerplate.sent_if_small(wanted), "page_id").distinct(), "page_id").join(sides, "source_id")
     dev = side.where("side = 0").select(F.col("page_id").alias("dev"), F.col("class").alias("x"))
     held = side.where("side = 1").select(F.col("page_id").alias("held"), F.col("class").alias("y"))
     ways = verified.unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
