@@ -18,10 +18,10 @@ def _corpus(spark, sf_dir) -> DataFrame:
     return pages(spark, sf_dir, "text").where("text is not null").select(F.col("page_id").alias("doc_id"), T.lexical_tokens(F.col("text")).alias("tokens"))
 
 
-def _questions(spark, sf_dir) -> DataFrame:
-    """(query_id, question, source_id) of the cases whose number is divisible by EVERY."""
+def _questions(spark, sf_dir, every: int = EVERY) -> DataFrame:
+    """(query_id, question, source_id) of the cases whose number is divisible by `every`."""
     number = F.regexp_extract("case_id", "([0-9]+)$", 1).cast("bigint")
-    return table(spark, sf_dir, "silver_case").select(number.alias("query_id"), "question", "source_id").distinct().where((F.col("query_id") % EVERY == 0) & F.col("question").isNotNull())
+    return table(spark, sf_dir, "silver_case").select(number.alias("query_id"), "question", "source_id").distinct().where((F.col("query_id") % every == 0) & F.col("question").isNotNull())
 
 
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +30,14 @@ def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(lexical.weights(df, totals), "token").select("token", F.col("n").alias("df"), F.round("weight", 6).alias("weight"))
 
 
-def _bm25(spark, sf_dir) -> DataFrame:
-    q = _questions(spark, sf_dir).select("query_id", T.lexical_tokens(F.col("question")).alias("tokens"))
+def _bm25(spark, sf_dir, every: int = EVERY) -> DataFrame:
+    q = _questions(spark, sf_dir, every).select("query_id", T.lexical_tokens(F.col("question")).alias("tokens"))
     return lexical.scores(_corpus(spark, sf_dir), q)
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_topk(spark: SparkSession, sf_dir: str, every: int = EVERY) -> DataFrame:
     """The best pages for each question."""
-    return lexical.top_k(_bm25(spark, sf_dir), TOP).select("query_id", "doc_id", "score", "rank")
+    return lexical.top_k(_bm25(spark, sf_dir, every), TOP).select("query_id", "doc_id", "score", "rank")
 
 
 def overlap_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
