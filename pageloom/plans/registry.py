@@ -27,9 +27,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import comparison, governance, pages, retrieval, segmentation, spans
+    from . import comparison, governance, pages, retrieval, segmentation, spans, verification
 
-    return collect(pages, segmentation, retrieval, spans, governance, comparison)
+    return collect(pages, segmentation, retrieval, spans, governance, comparison, verification)
 
 
 QUERIES, SQL = _all()
