@@ -74,7 +74,9 @@ def ascii_tokens(c: Column) -> Column:
 
 
 def cjk_characters(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"([{CJK}])"), F.lit(1))
+    """The characters one by one; an empty array where there are none."""
+    only = F.regexp_replace(c, f"[^{CJK}]+", "")
+    return F.when(only == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(only, ""))
 
 
 def lexical_tokens(c: Column, terms: list[str] = ()) -> Column:
