@@ -6,6 +6,7 @@ import re
 from functools import lru_cache
 
 from .charforms import folded
+from .numeric import quick_folded
 
 #: Words that go with a printed page number.
 PAGE_WORDS = ("page", "pages", "seite", "pagina", "página", "pág", "pg", "p", "s", "no", "nr", "页码", "页次", "第", "共", "页", "of", "von", "sur", "de", "/")
@@ -93,6 +94,6 @@ def _header(line: str, name: str) -> bool:
 
 def line_kinds(text: str, name: str | None) -> tuple[list[str], list[bool], list[bool]]:
     """The folded lines of `text`, whether each is a page number, and whether it's a running header; the text is folded once."""
-    lines = folded(text).split("\n")
+    lines = quick_folded(text).split("\n")
     number = [_page_number(x) for x in lines]
     return lines, number, [bool(name) and not n and _header(x, name) for x, n in zip(lines, number)]

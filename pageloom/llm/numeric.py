@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .charforms import LOOK_ALIKE, _fold_table
+from .charforms import LOOK_ALIKE, _fold_table, folded
 
 _SPECIAL = re.compile("[ﬀ-ﬆ̀-ͯ\U00010000-\U0010ffff㌀-㏿]")
 _ODD, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -42,6 +42,16 @@ def tables() -> dict[str, np.ndarray]:
     return {"fold": fold, "lower": low, "letter": letter, "han": han, "digit": digit, "space": space, "mix": rng.integers(1, 1 << 63, 0x10000, dtype=np.uint64) | np.uint64(1)}
 
 
+def quick_folded(text: str) -> str:
+    """`charforms.folded`, by array lookup; texts with forms of several characters go the long way."""
+    if text.isascii():
+        return text.lower()
+    if _SPECIAL.search(text):
+        return folded(text)
+    cp = tables()["lower"][np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    return cp[cp > 0].tobytes().decode("utf-32-le")
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
