@@ -75,17 +75,18 @@ def ascii_tokens(c: Column) -> Column:
 
 def cjk_characters(c: Column) -> Column:
     """The characters one by one; an empty array where there are none."""
-    only = F.regexp_replace(c, f"[^{CJK}]+", "")
-    return F.when(only == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(only, ""))
+    return F.filter(F.split(F.regexp_replace(c, f"[^{CJK}]+", ""), ""), lambda x: x != "")
 
 
 def lexical_tokens(c: Column, terms: list[str] = ()) -> Column:
     """Tokens for lexical search: lexicon terms present (once each), ASCII runs, CJK characters, adjacent CJK pairs (over what stands between)."""
-    cjk = cjk_characters(c)
-    n = F.greatest(F.size(cjk) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(cjk, 1, n), F.slice(cjk, 2, n), lambda a, b: F.concat(a, b))
     present = [F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))] if terms else []
-    return F.concat(*present, ascii_tokens(c), cjk, pairs)
+
+    def joined(cjk):
+        n = F.greatest(F.size(cjk) - 1, F.lit(0))
+        return F.concat(*present, ascii_tokens(c), cjk, F.zip_with(F.slice(cjk, 1, n), F.slice(cjk, 2, n), lambda a, b: F.concat(a, b)))
+
+    return F.get(F.transform(F.array(cjk_characters(c)), joined), 0)  # the characters are made once
 
 
 #: Chinese digits and units.

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: The published defaults, and the share of the mean weight that replaces negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query tokens that may be sent to every worker; beyond, postings are joined by shuffle.
+#: Rows of (query, token) that may be sent to every worker; beyond, postings are joined by shuffle.
 SENT_TOKENS = 200_000
 
 
 def corpus_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc_id, tokens): (token, n) document frequencies, counted before the shuffle; and one row (n_docs, mean_length)."""
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # explode_outer: for explode the planner adds a filter on the array's size, which makes the tokens twice
+    df = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
     return df, docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
 
 
@@ -32,27 +33,29 @@ def scores(docs: DataFrame, queries: DataFrame, keep: tuple[str, ...] = ()) -> D
     filtered by the queries' tokens before anything is shuffled.
     """
     q = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    asked = q.select("token").distinct()
-    asked = F.broadcast(asked) if asked.count() <= SENT_TOKENS else asked
+    # frequent tokens have postings in most documents: small sides are sent, so that no task gets all of a token
+    few = q.count() <= SENT_TOKENS
+    sent = F.broadcast if few else (lambda df: df)
+    asked = sent(q.select("token").distinct())
     df, totals = corpus_stats(docs)
     posting = (
-        docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+        docs.select("doc_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("token"))
         .join(asked, "token", "left_semi")
         .groupBy("doc_id", "token").agg(F.count("*").alias("f"), F.first("length").alias("length"))
     )
-    w = weights(df, totals).join(asked, "token", "left_semi")
+    w = sent(weights(df, totals).join(asked, "token", "left_semi"))
     score = F.col("times") * F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    hit = posting.join(w, "token").join(F.broadcast(totals.select("mean_length"))).join(q, "token")
+    hit = posting.join(w, "token").join(F.broadcast(totals.select("mean_length"))).join(sent(q), "token")
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score")).where("score > 0")
 
 
 def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): distinct tokens in common, the fallback where no lexical score is positive."""
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    asked = q.select("token").distinct()
-    asked = F.broadcast(asked) if asked.count() <= SENT_TOKENS else asked
-    d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(asked, "token", "left_semi")
-    return d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    sent = F.broadcast if q.count() <= SENT_TOKENS else (lambda df: df)
+    asked = sent(q.select("token").distinct())
+    d = docs.select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("token")).join(asked, "token", "left_semi")
+    return d.join(sent(q), "token").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
 def top_k(hits: DataFrame, k: int, *, by: str = "score", tie="doc_id", key: str = "query_id") -> DataFrame:
