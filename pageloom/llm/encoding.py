@@ -245,5 +245,9 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_restored(spark, sf_dir: str) -> DataFrame:
-    """The affected texts, their garbled parts and the restored text."""
-    return find_garbled(table(spark, sf_dir, "document_page"), "page_id", "text").distinct()
+    """The affected texts and notes, their garbled parts and the restored value; `note_no` is a note's place in its page's notes, from 1, and null for a text."""
+    pages = table(spark, sf_dir, "document_page")
+    texts = pages.select(F.lit("text").alias("field_name"), "page_id", F.lit(None).cast("int").alias("note_no"), F.col("text").alias("value"))
+    notes = pages.select(F.lit("quality_notes").alias("field_name"), "page_id", F.posexplode("quality_notes").alias("note_no", "value")).withColumn("note_no", F.col("note_no") + 1)
+    values = texts.unionByName(notes).select(F.struct("field_name", "page_id", "note_no").alias("record"), "value")
+    return find_garbled(values, "record", "value").select("record.*", "garbled", "restored").distinct()
