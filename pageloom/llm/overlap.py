@@ -6,7 +6,7 @@ that equal spans have equal anchors wherever they stand. Suffixes are
 partitioned by their first PREFIX characters and sorted within a partition by
 longer prefixes; neighbours of different splits share a long common prefix and
 make a candidate pair. The shared spans of a pair are added up to its coverage
-of the record with fewer anchors; pairs above the least coverage are compared
+of the record with fewer anchors; pairs above the least number or coverage are compared
 exactly by edit distance, without repeated lines, headers and page numbers.
 Records with the same body are one class; class pairs are compared once and
 expanded to the pairs asked for.
@@ -36,10 +36,8 @@ from .numeric import Batch, span_hash, sums, tables
 WINDOW, GRAM, PREFIX, LONG_PREFIX = 16, 8, 32, 64
 #: Following neighbours in the sorted order that are compared.
 NEIGHBOURS = 6
-#: Suffixes that share a prefix are a crowd beyond this number; weight of a link within one.
-CROWD, COMMON = 16, 0.2
-#: A candidate pair shares at least this share of the anchors of the record with fewer.
-COVERAGE = 0.12
+#: A candidate pair shares at least so many anchors, or this share of the anchors of the record with fewer.
+SHARED, COVERAGE = 2, 0.1
 #: Records are alike if at most this share of the longer one's characters differs.
 DIFFER = 0.14
 #: Letters a readable record has at least.
@@ -76,32 +74,21 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     return {"row": row[here].astype(np.int64), "prefix": span_hash(s, here, here + PREFIX).view(np.int64), "longer": (longer >> np.uint64(33)).astype(np.int32), "n": count[row[here]]}
 
 
-def _run_sizes(*columns) -> np.ndarray:
-    """Of each row the number of adjacent rows with the same values."""
-    change = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-    start = np.flatnonzero(change)
-    size = np.diff(np.append(start, len(columns[0])))
-    return np.repeat(size, size)
-
-
 def adjacent_pairs(prefix, longer, record, side, n) -> tuple[np.ndarray, ...]:
     """Candidate pairs of suffixes in sorted order: the next NEIGHBOURS, and the nearest of the other side before and after each.
 
-    Columns: the record of side 0, of side 1, the weight of the link, and the
-    least number of anchors. A link weighs 1 where few suffixes share the prefix
-    or the longer one, else COMMON: neighbours in a crowd are often strangers.
+    Columns: the record of side 0, of side 1, the weight of the link (1 in groups
+    of any size), and the least number of anchors.
     """
     size = len(prefix)
     if not size:
         return (np.empty(0, np.int64),) * 4
     out = []
-    few, fewer = _run_sizes(prefix) <= CROWD, _run_sizes(prefix, longer) <= CROWD
 
     def add(i, j):
         x = np.where(side[i] == 0, i, j)
         y = np.where(side[i] == 0, j, i)
-        near = few[i] | fewer[i] & (longer[i] == longer[j])
-        out.append((record[x], record[y], np.where(near, 1.0, COMMON), np.minimum(n[i], n[j])))
+        out.append((record[x], record[y], np.ones(len(i)), np.minimum(n[i], n[j])))
 
     at = np.arange(size)
     for k in range(1, min(NEIGHBOURS, size - 1) + 1):
@@ -159,7 +146,7 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
 
     pairs = ordered.mapInArrow(run, "dev bigint, held bigint, shared double, n int")
     total = pairs.groupBy("dev", "held").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
-    return total.where(F.col("shared") >= COVERAGE * F.col("n")).select("dev", "held")
+    return total.where((F.col("shared") >= SHARED) | (F.col("shared") >= COVERAGE * F.col("n"))).select("dev", "held")
 
 
 def body(text: str, name: str | None, drop: list[int] | None) -> str:

@@ -1,6 +1,7 @@
 """Jobs that were once done in part only."""
 
 from pageloom.llm import encoding as E
+from pageloom.llm import overlap as O
 
 from .conftest import page, rows
 
@@ -12,3 +13,9 @@ def test_notes_are_restored(spark, make_dir):
     got = {(r.field_name, r.page_id, r.note_no): r.restored for r in E.p5_restored(spark, d).collect()}
     assert got == dict.fromkeys([("quality_notes", 1, 2), ("quality_notes", 1, 4), ("text", 2, None), ("text", 3, None), ("quality_notes", 3, 1)], "Prüfung läuft")
     assert {k[:2] for k in got} == rows(E.p5_found(spark, d))
+
+
+def test_two_shared_anchors_are_enough_in_a_crowd(spark):
+    crowd = [(p, p, 100 + k, 0, 20) for p in (1, 2) for k in range(30)]
+    array = spark.createDataFrame([*crowd, (1, 1, 200, 1, 20), (2, 2, 200, 1, 20)], "prefix long, longer int, page_id long, side int, n int")
+    assert (129, 200) in rows(O.candidate_pairs(array))
