@@ -1,20 +1,19 @@
 """Same or nearly same records across splits.
 
-The texts are concatenated, without layout, into a sparse suffix array: suffixes
-start at anchors chosen by their content (local minima of a rolling hash), so
-that equal spans have equal anchors wherever they stand. Suffixes are
-partitioned by their first PREFIX characters and sorted within a partition by
-longer prefixes; neighbours of different splits share a long common prefix and
-make a candidate pair. The shared spans of a pair are added up to its coverage
-of the record with fewer anchors; pairs above the least number or coverage are compared
-exactly by edit distance, without repeated lines, headers and page numbers.
-Records with the same body are one class; class pairs are compared once and
-expanded to the pairs asked for.
+Pages become bodies, without layout, repeated lines, headers and page numbers;
+pages with the same body are one class. The bodies are concatenated into a sparse
+suffix array: suffixes start at anchors chosen by their content (local minima of
+a rolling hash), so that equal spans have equal anchors wherever they stand.
+Suffixes are partitioned by the hash of their first PREFIX characters; within a
+group all suffixes of different splits are compared, ordered by the size of
+their bodies. A link counts if the sizes, and the places of the anchor, differ by
+no more edits than alike bodies may; pairs with enough links are compared
+exactly by edit distance and expanded to the pairs of pages asked for.
 
 Defined results: null, empty and unreadable texts (fewer than READABLE letters
 beyond replacement marks) are in no pair; sources without a split are in no
-pair; records delivered twice count once; a suffix in a large group is linked to
-the nearest of the other split in the order of its longer prefixes.
+pair; records delivered twice count once; groups of any size are compared in
+full, large ones in blocks.
 """
 
 from __future__ import annotations
@@ -32,10 +31,10 @@ from .base import map_batches, materialized, parts, table
 from .furniture import line_kinds
 from .numeric import Batch, span_hash, sums, tables
 
-#: Anchors are minima over so many characters to both sides; characters of the rolling hash, and of the short and long prefix.
-WINDOW, GRAM, PREFIX, LONG_PREFIX = 16, 8, 32, 64
-#: Following neighbours in the sorted order that are compared.
-NEIGHBOURS = 6
+#: Anchors are minima over so many characters to both sides; characters of the rolling hash, and of the prefix.
+WINDOW, GRAM, PREFIX = 16, 8, 32
+#: Suffixes of a side in a block of a large group; classes in a block of the exact comparison; pairs looked at together.
+BLOCK, CLASSES, PAIRS = 4096, 8192, 64
 #: A candidate pair shares at least so many anchors, or this share of the anchors of the record with fewer.
 SHARED, COVERAGE = 2, 0.1
 #: Records are alike if at most this share of the longer one's characters differs.
@@ -47,7 +46,7 @@ _LOST = re.compile("(?:锟斤拷?|斤拷|锟|�)+[锟斤拷�]*")
 
 
 def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """row, prefix, longer prefix and number of the row's anchors, for each anchor."""
+    """row, prefix, place from the row's start, characters to its end, and number of the row's anchors, for each anchor."""
     b = Batch(texts)
     t = tables()
     space = t["space"][b.cp]
@@ -55,7 +54,7 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     b.take(~space)
     cp, row, n = b.cp, b.row, len(b.cp)
     letters = np.bincount(row, weights=t["letter"][cp], minlength=b.rows) if n else np.zeros(b.rows)
-    none = {k: np.empty(0, np.int64) for k in ("row", "prefix", "longer", "n")}
+    none = {k: np.empty(0, np.int64) for k in ("row", "prefix", "at", "rest", "n")}
     if n < GRAM + 2 * WINDOW:
         return none
     s = sums(cp)
@@ -69,40 +68,33 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     here, end = here[keep], end[keep]
     if not len(here):
         return none
-    longer = span_hash(s, here, np.minimum(here + LONG_PREFIX, end))
+    start = np.searchsorted(row, row[here])
     count = np.bincount(row[here], minlength=b.rows)
-    return {"row": row[here].astype(np.int64), "prefix": span_hash(s, here, here + PREFIX).view(np.int64), "longer": (longer >> np.uint64(33)).astype(np.int32), "n": count[row[here]]}
+    return {"row": row[here].astype(np.int64), "prefix": span_hash(s, here, here + PREFIX).view(np.int64), "at": here - start, "rest": end - here, "n": count[row[here]]}
 
 
-def adjacent_pairs(prefix, longer, record, side, n) -> tuple[np.ndarray, ...]:
-    """Candidate pairs of suffixes in sorted order: the next NEIGHBOURS, and the nearest of the other side before and after each.
 
-    Columns: the record of side 0, of side 1, the weight of the link (1 in groups
-    of any size), and the least number of anchors.
+def most_edits(size):
+    """Edits at most between alike bodies of which the longer has `size` characters."""
+    return (DIFFER * size).astype(np.int64)
+
+
+def group_pairs(prefix, cell, size, record, side, at, rest, n) -> tuple[np.ndarray, ...]:
+    """All links of suffixes with one prefix and cell but different sides, in rows ordered by prefix, cell and size: least and greatest record, and the least number of anchors.
+
+    Bodies whose sizes differ by more than the edits allowed aren't alike, and an
+    anchor whose distances from both ends differ by more is no common part of alike ones.
     """
-    size = len(prefix)
-    if not size:
-        return (np.empty(0, np.int64),) * 4
-    out = []
-
-    def add(i, j):
-        x = np.where(side[i] == 0, i, j)
-        y = np.where(side[i] == 0, j, i)
-        out.append((record[x], record[y], np.ones(len(i)), np.minimum(n[i], n[j])))
-
-    at = np.arange(size)
-    for k in range(1, min(NEIGHBOURS, size - 1) + 1):
-        i = np.flatnonzero((prefix[k:] == prefix[:-k]) & (side[k:] != side[:-k]))
-        add(i, i + k)
-    for s in (0, 1):  # the nearest of the other side, farther than NEIGHBOURS
-        last = np.maximum.accumulate(np.where(side == s, at, -1))
-        i = np.flatnonzero((side != s) & (last >= 0))
-        i = i[(at[i] - last[i] > NEIGHBOURS) & (prefix[i] == prefix[last[i]])]
-        add(i, last[i])
-        after = size - 1 - np.maximum.accumulate(np.where(side[::-1] == s, at, -1))[::-1]
-        i = np.flatnonzero((side != s) & (after < size))
-        i = i[(after[i] - at[i] > NEIGHBOURS) & (prefix[i] == prefix[np.minimum(after[i], size - 1)])]
-        add(i, after[i])
+    out, most, i, k = [(np.empty(0, np.int64),) * 3], most_edits(size), np.arange(len(prefix)), 0
+    while len(i):
+        k += 1
+        i = i[i < len(prefix) - k]
+        j = i + k
+        i = i[(prefix[j] == prefix[i]) & (cell[j] == cell[i]) & (size[j] - size[i] <= most[j])]
+        j = i + k
+        linked = (side[i] != side[j]) & (record[i] != record[j]) & (np.abs(at[i] - at[j]) + np.abs(rest[i] - rest[j]) <= most[j])
+        a, b = i[linked], j[linked]
+        out.append((np.minimum(record[a], record[b]), np.maximum(record[a], record[b]), np.minimum(n[a], n[b]).astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -111,42 +103,51 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("source_id").agg(F.min(F.when(F.col("split") == "development", 0).otherwise(1)).alias("side"))
 
 
-def suffixes(pages: DataFrame, sides: DataFrame) -> DataFrame:
-    """(prefix, longer, page_id, side, n) of the anchors of pages (page_id, source_id, text) that have a side."""
-    held = pages.where("text is not null").join(boilerplate.sent_if_small(sides), "source_id").select("page_id", "side", "text")
+def suffixes(one: DataFrame) -> DataFrame:
+    """(prefix, size, class, side, at, rest, n) of the anchors of classes (class, sides, body); those of both sides (3) have a row for each."""
 
     def run(batches):
         for b, texts in parts(batches, 2):
             a = anchors(texts)
-            rows = pa.array(a["row"])
+            sides = b.column(1).to_numpy()[a["row"]]
+            at = np.concatenate([np.flatnonzero(sides & 1), np.flatnonzero(sides & 2)])
+            side = np.repeat([0, 1], [np.count_nonzero(sides & 1), np.count_nonzero(sides & 2)])
+            size = np.array([len(t) for t in texts])[a["row"]]
+            number = lambda x: pa.array(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a["prefix"].astype(np.int64)), pa.array(a["longer"].astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows), pa.array(a["n"].astype(np.int32))],
-                names=["prefix", "longer", "page_id", "side", "n"],
+                [pa.array(a["prefix"][at]), number(size[at]), b.column(0).take(pa.array(a["row"][at])), number(side), number(a["at"][at]), number(a["rest"][at]), number(a["n"][at])],
+                names=["prefix", "size", "class", "side", "at", "rest", "n"],
             )
 
-    return held.mapInArrow(run, "prefix bigint, longer int, page_id bigint, side int, n int")
+    return one.select("class", "sides", "body").mapInArrow(run, "prefix bigint, size int, class bigint, side int, at int, rest int, n int")
 
 
 def candidate_pairs(array: DataFrame) -> DataFrame:
-    """(dev, held): pairs whose shared suffixes cover enough. `array` is partitioned by prefix and sorted within; groups are streamed, never held."""
-    # the same order in every group: neighbouring copies of one record are neighbours at all their anchors
-    ordered = array.repartition(F.col("prefix")).sortWithinPartitions("prefix", "longer", "page_id")
+    """(x, y): pairs of classes that share enough suffixes. `array` is partitioned by prefix; groups are compared whole, whatever the batches."""
+    ordered = array.withColumn("cell", F.lit(0)).repartition("prefix").sortWithinPartitions("prefix", "size")
+
+    def links(cols):
+        x, y, n = group_pairs(*cols)
+        pair, first, shared = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_counts=True) if len(x) else (np.empty((0, 2), np.int64), x, x)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared.astype(np.int32)), pa.array(n[first].astype(np.int32))], names=["x", "y", "shared", "n"])
 
     def run(batches):
         kept = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(5)]
+            cols = [b.column(i).to_numpy() for i in range(8)]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
-            x, y, span, n = adjacent_pairs(*cols)
-            kept = [c[-NEIGHBOURS:] for c in cols]
-            pair, first, inverse = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_inverse=True) if len(x) else (np.empty((0, 2), np.int64), x, x)
-            shared = np.bincount(inverse.ravel(), weights=span, minlength=len(pair))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared), pa.array(n[first].astype(np.int32))], names=["dev", "held", "shared", "n"])
+            other = np.flatnonzero((cols[0] != cols[0][-1:]) | (cols[1] != cols[1][-1:]))
+            whole = other[-1] + 1 if len(other) else 0  # the last group may go on in the next batch
+            kept = [c[whole:] for c in cols]
+            if whole:
+                yield links([c[:whole] for c in cols])
+        if kept is not None:
+            yield links(kept)
 
-    pairs = ordered.mapInArrow(run, "dev bigint, held bigint, shared double, n int")
-    total = pairs.groupBy("dev", "held").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
-    return total.where((F.col("shared") >= SHARED) | (F.col("shared") >= COVERAGE * F.col("n"))).select("dev", "held")
+    pairs = ordered.select("prefix", "cell", "size", "class", "side", "at", "rest", "n").mapInArrow(run, "x bigint, y bigint, shared int, n int")
+    total = pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
+    return total.where((F.col("shared") >= SHARED) | (F.col("shared") >= COVERAGE * F.col("n"))).select("x", "y")
 
 
 def body(text: str, name: str | None, drop: list[int] | None) -> str:
@@ -157,22 +158,22 @@ def body(text: str, name: str | None, drop: list[int] | None) -> str:
     return re.sub(r"\s+", "", _LOST.sub("", "".join(kept)))
 
 
-def bodies(pages: DataFrame, names: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, body, class) of the pages `wanted` (page_id), one row each, readable ones only."""
-    wanted = boilerplate.sent_if_small(wanted)
-    drop = lines.join(wanted, "page_id").groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    src = pages.join(wanted, "page_id").dropDuplicates(["page_id"]).join(boilerplate.sent_if_small(names), "source_id", "left").join(drop, "page_id", "left").select("page_id", "text", "name", "drop")
+def bodies(pages: DataFrame, names: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page_id, side, body, class) of pages (page_id, source_id, side, text), readable ones only."""
+    drop = boilerplate.sent_if_small(materialized(lines.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))))
+    src = pages.where("text is not null").join(boilerplate.sent_if_small(names), "source_id", "left").join(drop, "page_id", "left").select("page_id", "side", "text", "name", "drop")
 
     def run(batch):
-        out: dict = {"page_id": [], "body": []}
-        for p, t, n, d in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        out: dict = {"page_id": [], "side": [], "body": []}
+        for p, s, t, n, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
             x = body(t, n, d)
             if sum(map(str.isalpha, x)) >= READABLE:
                 out["page_id"].append(p)
+                out["side"].append(s)
                 out["body"].append(x)
         yield out
 
-    return map_batches(src, "page_id bigint, body string", run).withColumn("class", F.xxhash64("body", F.length("body")))
+    return map_batches(src, "page_id bigint, side int, body string", run).withColumn("class", F.xxhash64("body", F.length("body")))
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -209,47 +210,58 @@ def alike(a: str, b: str, differ: float = DIFFER) -> bool:
     return a == b or distance(a, b, most) <= most
 
 
-def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """Those of class pairs (x, y) whose bodies are alike; `one` holds (class, body)."""
-    both = pairs.join(one.select(F.col("class").alias("x"), F.col("body").alias("p")), "x").join(one.select(F.col("class").alias("y"), F.col("body").alias("q")), "y")
-    near = (1 - DIFFER) * F.greatest(F.length("p"), F.length("q")) <= F.least(F.length("p"), F.length("q")) + 1
+def _placed(text: str) -> np.ndarray:
+    """The pairs of characters of `text` with their places, sorted."""
+    cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    return np.sort((cp[:-1] * 1000003 + cp[1:] & 0x7FFFFFFF) << 24 | np.arange(len(cp) - 1))
 
-    def run(batch):
-        cols = [batch.column(i).to_pylist() for i in range(4)]
-        keep = [(x, y) for x, y, p, q in zip(*cols) if alike(p, q)]
-        yield {"x": [k[0] for k in keep], "y": [k[1] for k in keep]}
 
-    return map_batches(both.where(near).select("x", "y", "p", "q"), "x bigint, y bigint", run)
+def near(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether a[i] and b[i] (`_placed`) can be at most most[i] edits apart: an edit takes at most two pairs of characters, and moves none by more than a place."""
+    count = np.array([len(x) for x in a])
+    who = np.repeat(np.arange(len(a)), count)
+    key = np.concatenate(a)
+    all_b = np.concatenate([x | i << 55 for i, x in enumerate(b)] + [np.array([np.iinfo(np.int64).max])])
+    place, base, d = key & 0xFFFFFF, key >> 24 << 24 | who << 55, most[who]
+    there = all_b[np.searchsorted(all_b, base | np.maximum(place - d, 0))] <= base + np.minimum(place + d, 0xFFFFFF)
+    return count - np.bincount(who, weights=there, minlength=len(a)) <= 2 * most
+
+
+def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Those of class pairs (x, y) whose bodies are alike; `one` holds (class, body). Bodies meet in blocks, so that each travels once a block and not once a pair."""
+    blocks = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct().count() // CLASSES + 1
+    met = pairs.withColumn("cell", F.expr(f"pmod(x, {blocks}) * {blocks} + pmod(y, {blocks})"))
+    held = met.select(F.col("cell").alias("block"), F.explode(F.array("x", "y")).alias("class")).distinct().join(one.select("class", "body"), "class").select("block", "class", "body")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = dict(zip(right["class"].to_pylist(), right["body"].to_pylist()))
+        placed: dict = {}
+        todo = sorted(zip(left["x"].to_pylist(), left["y"].to_pylist()))
+        out = []
+        for k in range(0, len(todo), PAIRS):
+            some = todo[k : k + PAIRS]
+            for c in {c for xy in some for c in xy} - placed.keys():
+                placed[c] = _placed(text[c])
+            most = most_edits(np.array([max(len(text[x]), len(text[y])) for x, y in some]))
+            can = near([placed[x] for x, _ in some], [placed[y] for _, y in some], most)
+            out += [xy for xy, c in zip(some, can) if c and alike(text[xy[0]], text[xy[1]])]
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+    return met.groupBy("cell").cogroup(held.groupBy("block")).applyInArrow(run, "x bigint, y bigint")
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dev, held) page ids of all pairs of alike pages across the splits."""
-    pages = table(spark, sf_dir, "document_page").select("page_id", "source_id", "text")
-    sides = _sides(spark, sf_dir)
-    found = materialized(boilerplate.repeated_lines(spark, sf_dir).select("page_id", "line_no").distinct())
-    pair = materialized(candidate_pairs(suffixes(pages, sides)))
-    wanted = materialized(pair.select(F.explode(F.array("dev", "held")).alias("page_id")).distinct())
+    pages = table(spark, sf_dir, "document_page").select("page_id", "source_id", "text").join(boilerplate.sent_if_small(_sides(spark, sf_dir)), "source_id")
+    found = boilerplate.repeated_lines(spark, sf_dir).select("page_id", "line_no").distinct()
     names = table(spark, sf_dir, "benchmark_source").groupBy("source_id").agg(F.min("source_name").alias("name"))
-    text = materialized(bodies(pages, names, found, wanted))
-    of = text.select("page_id", "class")
-    a, b = (of.select(F.col("page_id").alias(c), F.col("class").alias(f"class_{c}")) for c in ("dev", "held"))
-    classes = materialized(pair.join(a, "dev").join(b, "held").select(F.least("class_dev", "class_held").alias("x"), F.greatest("class_dev", "class_held").alias("y")).distinct())
-    one = materialized(text.groupBy("class").agg(F.min("body").alias("body")))
-    verified = materialized(_verified(classes.where("x <> y"), one).unionByName(classes.where("x = y")))
-    # in clusters with more members than neighbours, members at the far ends of a chain of three links are compared too
-    tried = classes
-    while True:
-        link = verified.unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct()
-        two = link.alias("a").join(link.alias("b"), F.col("a.y") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.y").alias("y")).where("x <> y").distinct()
-        far = two.alias("a").join(link.alias("b"), F.col("a.y") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.y").alias("y")).unionByName(two).where("x < y").distinct()
-        fresh = materialized(far.join(tried, ["x", "y"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        verified = materialized(verified.unionByName(_verified(fresh, one)))
-        tried = materialized(tried.unionByName(fresh))
-    side = of.join(pages.select("page_id", "source_id").join(boilerplate.sent_if_small(wanted), "page_id").distinct(), "page_id").join(sides, "source_id")
-    dev = side.where("side = 0").select(F.col("page_id").alias("dev"), F.col("class").alias("x"))
-    held = side.where("side = 1").select(F.col("page_id").alias("held"), F.col("class").alias("y"))
+    text = materialized(bodies(pages, names, found).withColumn("uid", F.monotonically_increasing_id()))
+    kinds = materialized(text.groupBy("class").agg(F.min("uid").alias("uid"), F.expr("bit_or(side + 1)").alias("sides")))
+    one = text.select("uid", "body").join(boilerplate.sent_if_small(kinds), "uid").select("class", "sides", "body")
+    pairs = materialized(candidate_pairs(materialized(suffixes(one))))
+    verified = materialized(_verified(pairs, one)).unionByName(kinds.where("sides = 3").select(F.col("class").alias("x"), F.col("class").alias("y")))
+    dev = text.where("side = 0").select(F.col("page_id").alias("dev"), F.col("class").alias("x"))
+    held = text.where("side = 1").select(F.col("page_id").alias("held"), F.col("class").alias("y"))
     ways = verified.unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     return ways.join(dev, "x").join(held, "y").select("dev", "held").distinct()
 

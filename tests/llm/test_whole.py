@@ -15,7 +15,19 @@ def test_notes_are_restored(spark, make_dir):
     assert {k[:2] for k in got} == rows(E.p5_found(spark, d))
 
 
+ARRAY = "prefix long, size int, class long, side int, at int, rest int, n int"
+
+
 def test_two_shared_anchors_are_enough_in_a_crowd(spark):
-    crowd = [(p, p, 100 + k, 0, 20) for p in (1, 2) for k in range(30)]
-    array = spark.createDataFrame([*crowd, (1, 1, 200, 1, 20), (2, 2, 200, 1, 20)], "prefix long, longer int, page_id long, side int, n int")
-    assert (129, 200) in rows(O.candidate_pairs(array))
+    crowd = [(p, 600, 100 + k, 0, 40 * p, 600 - 40 * p, 20) for p in (1, 2) for k in range(30)]
+    held = [(p, 600, 200, 1, 40 * p, 600 - 40 * p, 20) for p in (1, 2)]
+    assert rows(O.candidate_pairs(spark.createDataFrame(crowd + held, ARRAY))) == {(100 + k, 200) for k in range(30)}
+
+
+def test_groups_are_compared_across_batches(spark):
+    array = spark.createDataFrame([(1, 600 + (k == 900), k, int(k == 900), 40, 560, 1) for k in range(901)], ARRAY)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert rows(O.candidate_pairs(array)) == {(k, 900) for k in range(900)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
