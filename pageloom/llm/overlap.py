@@ -122,9 +122,17 @@ def suffixes(one: DataFrame) -> DataFrame:
     return one.select("class", "sides", "body").mapInArrow(run, "prefix bigint, size int, class bigint, side int, at int, rest int, n int")
 
 
+def _cells(array: DataFrame) -> DataFrame:
+    """`array` with a cell: groups of more than BLOCK suffixes are cut into blocks of either side, and each block of one meets each of the other in a cell."""
+    crowd = array.groupBy("prefix").agg(F.count_if(F.col("side") == 0).alias("d"), F.count_if(F.col("side") == 1).alias("h")).where(f"d + h > {BLOCK} and d > 0 and h > 0")
+    crowd = boilerplate.sent_if_small(materialized(crowd.selectExpr("prefix", f"cast(ceil(d / {BLOCK}) as int) d", f"cast(ceil(h / {BLOCK}) as int) h")))
+    cells = "if(side = 0, transform(sequence(0, h - 1), j -> cast(pmod(class, d) as int) * h + j), transform(sequence(0, d - 1), i -> i * h + cast(pmod(class, h) as int)))"
+    return array.join(crowd, "prefix", "left_anti").withColumn("cell", F.lit(0)).unionByName(array.join(crowd, "prefix").withColumn("cell", F.explode(F.expr(cells))).drop("d", "h"))
+
+
 def candidate_pairs(array: DataFrame) -> DataFrame:
-    """(x, y): pairs of classes that share enough suffixes. `array` is partitioned by prefix; groups are compared whole, whatever the batches."""
-    ordered = array.withColumn("cell", F.lit(0)).repartition("prefix").sortWithinPartitions("prefix", "size")
+    """(x, y): pairs of classes that share enough suffixes. `array` is partitioned by prefix and cell; groups are compared whole, whatever the batches."""
+    ordered = _cells(array).repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "size")
 
     def links(cols):
         x, y, n = group_pairs(*cols)

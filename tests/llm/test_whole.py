@@ -31,3 +31,11 @@ def test_groups_are_compared_across_batches(spark):
         assert rows(O.candidate_pairs(array)) == {(k, 900) for k in range(900)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_large_groups_are_compared_in_full_by_blocks(spark, monkeypatch):
+    array = spark.createDataFrame([(1, 600, k, int(k >= 40), 40, 560, 1) for k in range(70)], ARRAY)
+    monkeypatch.setattr(O, "BLOCK", 16)
+    cells = O._cells(array).groupBy("cell").count().collect()
+    assert len(cells) == 6 and max(r["count"] for r in cells) < 35
+    assert rows(O.candidate_pairs(array)) == {(i, j) for i in range(40) for j in range(40, 70)}
