@@ -3,7 +3,8 @@
 Pages become bodies, without layout, repeated lines, headers and page numbers;
 pages with the same body are one class. The bodies are concatenated into a sparse
 suffix array: suffixes start at anchors chosen by their content (local minima of
-a rolling hash), so that equal spans have equal anchors wherever they stand.
+a rolling hash, and the first character), so that equal spans have equal anchors
+wherever they stand; short texts have one at every character.
 Suffixes are partitioned by the hash of their first PREFIX characters; within a
 group all suffixes of different splits are compared, ordered by the size of
 their bodies. A link counts if the sizes, and the places of the anchor, differ by
@@ -33,6 +34,8 @@ from .numeric import Batch, span_hash, sums, tables
 
 #: Anchors are minima over so many characters to both sides; characters of the rolling hash, and of the prefix.
 WINDOW, GRAM, PREFIX = 16, 8, 32
+#: Texts of at most so many characters have a suffix of so many characters at every place: of alike ones (DIFFER), one suffix at least is the same.
+SHORT, SMALL = 120, 5
 #: Suffixes of a side in a block of a large group; classes in a block of the exact comparison; pairs looked at together.
 BLOCK, CLASSES, PAIRS = 4096, 8192, 64
 #: A candidate pair shares at least so many anchors, or this share of the anchors of the record with fewer.
@@ -55,23 +58,30 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     cp, row, n = b.cp, b.row, len(b.cp)
     letters = np.bincount(row, weights=t["letter"][cp], minlength=b.rows) if n else np.zeros(b.rows)
     none = {k: np.empty(0, np.int64) for k in ("row", "prefix", "at", "rest", "n")}
-    if n < GRAM + 2 * WINDOW:
+    if n < GRAM:
         return none
     s = sums(cp)
-    pos = np.arange(n - GRAM + 1)
-    h = span_hash(s, pos, pos + GRAM)
+    pos, most = np.arange(n - GRAM + 1), np.iinfo(np.uint64).max
+    own = row[pos] == row[pos + GRAM - 1]
+    place = pos + row[pos].astype(np.int64) * WINDOW  # gaps between the rows, so that no window reaches into another
+    h = np.full(n + b.rows * WINDOW, most, np.uint64)
+    h[place] = np.where(own, span_hash(s, pos, pos + GRAM), most)
     low = sliding_window_view(h, WINDOW).min(1)
-    full = np.full(WINDOW - 1, np.iinfo(np.uint64).max, np.uint64)
-    here = np.flatnonzero((h <= np.concatenate([low, full])) & (h <= np.concatenate([full, low])))
-    end = np.searchsorted(row, row[here], "right")
-    keep = (here + PREFIX <= end) & (letters[row[here]] >= READABLE)
-    here, end = here[keep], end[keep]
-    if not len(here):
-        return none
-    start = np.searchsorted(row, row[here])
-    count = np.bincount(row[here], minlength=b.rows)
-    return {"row": row[here].astype(np.int64), "prefix": span_hash(s, here, here + PREFIX).view(np.int64), "at": here - start, "rest": end - here, "n": count[row[here]]}
-
+    full = np.full(WINDOW - 1, most, np.uint64)
+    least = (h <= np.concatenate([low, full])) & (h <= np.concatenate([full, low]))
+    first = np.concatenate([[True], row[1:] != row[:-1]])[: len(pos)]
+    enough = letters[row] >= READABLE
+    here = np.flatnonzero((least[place] & own | first) & enough[: len(pos)])
+    here = here[here + PREFIX <= np.searchsorted(row, row[here], "right")]
+    count = np.bincount(row[here], minlength=b.rows)[row[here]]
+    short = np.flatnonzero((np.bincount(row, minlength=b.rows) <= SHORT)[row] & enough)
+    short = short[short + SMALL <= np.searchsorted(row, row[short], "right")]
+    start, length = np.concatenate([here, short]), np.repeat([PREFIX, SMALL], [len(here), len(short)])
+    r = row[start]
+    return {
+        "row": r.astype(np.int64), "prefix": span_hash(s, start, start + length).view(np.int64), "at": start - np.searchsorted(row, r), "rest": np.searchsorted(row, r, "right") - start,
+        "n": np.concatenate([count, np.ones(len(short), count.dtype)]),
+    }
 
 
 def most_edits(size):
@@ -136,8 +146,7 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
 
     def links(cols):
         x, y, n = group_pairs(*cols)
-        pair, first, shared = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_counts=True) if len(x) else (np.empty((0, 2), np.int64), x, x)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared.astype(np.int32)), pa.array(n[first].astype(np.int32))], names=["x", "y", "shared", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n.astype(np.int32))], names=["x", "y", "n"])
 
     def run(batches):
         kept = None
@@ -153,8 +162,8 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
         if kept is not None:
             yield links(kept)
 
-    pairs = ordered.select("prefix", "cell", "size", "class", "side", "at", "rest", "n").mapInArrow(run, "x bigint, y bigint, shared int, n int")
-    total = pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
+    pairs = ordered.select("prefix", "cell", "size", "class", "side", "at", "rest", "n").mapInArrow(run, "x bigint, y bigint, n int")
+    total = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
     return total.where((F.col("shared") >= SHARED) | (F.col("shared") >= COVERAGE * F.col("n"))).select("x", "y")
 
 

@@ -1,5 +1,7 @@
 """Jobs that were once done in part only."""
 
+import random
+
 from pageloom.llm import encoding as E
 from pageloom.llm import overlap as O
 
@@ -39,3 +41,24 @@ def test_large_groups_are_compared_in_full_by_blocks(spark, monkeypatch):
     cells = O._cells(array).groupBy("cell").count().collect()
     assert len(cells) == 6 and max(r["count"] for r in cells) < 35
     assert rows(O.candidate_pairs(array)) == {(i, j) for i in range(40) for j in range(40, 70)}
+
+
+def test_anchors_of_a_text_do_not_depend_on_its_batch():
+    rng = random.Random(3)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (60, 300, 25, 800, 130, 130)]
+    together = O.anchors(["", *texts, None])
+    for i, t in enumerate(texts, 1):
+        alone, at = O.anchors([t]), together["row"] == i
+        assert {*zip(alone["prefix"], alone["at"], alone["rest"], alone["n"])} == {*zip(*(together[c][at] for c in ("prefix", "at", "rest", "n")))}
+        assert 0 in alone["at"] and (alone["at"] + alone["rest"] == len(t)).all()
+
+
+def test_short_alike_texts_share_an_anchor():
+    rng = random.Random(4)
+    for n in range(20, 120):
+        a = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+        d = int(O.DIFFER * n)
+        b = "".join("某" if d and i % (n // (d + 1)) == 0 and 0 < i // (n // (d + 1)) <= d else c for i, c in enumerate(a))
+        x = O.anchors([a, b])
+        one, two = ({*zip(x["prefix"][x["row"] == r], x["at"][x["row"] == r])} for r in (0, 1))
+        assert O.alike(a, b) and one & two, n
