@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set and all work is done in this process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         global _own
         _own = _own or tempfile.mkdtemp(prefix="pageloom-")
         named = _own
@@ -42,6 +44,25 @@ def materialized(df: DataFrame) -> DataFrame:
 
 _own: str | None = None
 
+#: Bytes, in memory, of a table that may be sent to every worker; beyond, a join by shuffle is used.
+SENT_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """An upper estimate of a row's bytes in memory: fixed sizes of numbers, and 64 for anything of varying length."""
+    return 24 + sum(8 if x.dataType.typeName() in ("long", "integer", "double", "boolean", "timestamp") else 64 for x in df.schema)
+
+
+def sent_if_small(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its rows, counted, take at most `most` bytes; else the planner joins by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes(df) <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many tasks as there are cores: input of fewer row groups than cores, thus small, is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 #: Characters of texts that a worker looks at together; longer texts are looked at alone, whole.
 TOGETHER = 1_000_000

@@ -4,17 +4,20 @@ Pages become bodies, without layout, repeated lines, headers and page numbers;
 pages with the same body are one class. The bodies are concatenated into a sparse
 suffix array: suffixes start at anchors chosen by their content (local minima of
 a rolling hash, and the first character), so that equal spans have equal anchors
-wherever they stand; short texts have one at every character.
-Suffixes are partitioned by the hash of their first PREFIX characters; within a
-group all suffixes of different splits are compared, ordered by the size of
-their bodies. A link counts if the sizes, and the places of the anchor, differ by
-no more edits than alike bodies may; pairs with enough links are compared
-exactly by edit distance and expanded to the pairs of pages asked for.
+wherever they stand; short texts have one at every character. The array is
+partitioned by the hash of the suffixes' first PREFIX characters and, in a
+partition, ordered by prefix and by the letters that follow, so that suffixes
+with a common prefix are neighbours and the common prefix of any two is the
+least one between them. Suffixes of different splits with a common prefix are a
+shared span, from the anchor to the end of the common prefix or to the next
+anchor; the spans of a pair of records are merged into the part of the records
+they cover. Pairs that share enough are compared exactly by edit distance and
+expanded to the pairs of pages asked for.
 
 Defined results: null, empty and unreadable texts (fewer than READABLE letters
 beyond replacement marks) are in no pair; sources without a split are in no
 pair; records delivered twice count once; groups of any size are compared in
-full, large ones in blocks.
+full, large ones in blocks, and the result doesn't depend on batches.
 """
 
 from __future__ import annotations
@@ -28,18 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boilerplate
-from .base import map_batches, materialized, parts, table
+from .base import map_batches, materialized, parts, sent_if_small, spread, table
 from .furniture import line_kinds
 from .numeric import Batch, span_hash, sums, tables
 
-#: Anchors are minima over so many characters to both sides; characters of the rolling hash, and of the prefix.
-WINDOW, GRAM, PREFIX = 16, 8, 32
+#: Anchors are minima over so many characters to both sides; characters of the rolling hash, of the prefix, and of the letters after it that order the array.
+WINDOW, GRAM, PREFIX, LETTERS = 16, 8, 32, 32
 #: Texts of at most so many characters have a suffix of so many characters at every place: of alike ones (DIFFER), one suffix at least is the same.
 SHORT, SMALL = 120, 5
-#: Suffixes of a side in a block of a large group; classes in a block of the exact comparison; pairs looked at together.
-BLOCK, CLASSES, PAIRS = 4096, 8192, 64
-#: A candidate pair shares at least so many anchors, or this share of the anchors of the record with fewer.
-SHARED, COVERAGE = 2, 0.1
+#: Suffixes of a side in a block of a large group; suffix pairs looked at together; classes in a block of the exact comparison; pairs looked at together.
+BLOCK, MEET, CLASSES, PAIRS = 4096, 1 << 20, 8192, 64
+#: The merged shared spans of a candidate pair cover at least this share of the longer record.
+COVERAGE = 0.08
 #: Records are alike if at most this share of the longer one's characters differs.
 DIFFER = 0.14
 #: Letters a readable record has at least.
@@ -49,7 +52,7 @@ _LOST = re.compile("(?:锟斤拷?|斤拷|锟|�)+[锟斤拷�]*")
 
 
 def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """row, prefix, place from the row's start, characters to its end, and number of the row's anchors, for each anchor."""
+    """Of each anchor: row, hash of its prefix, place from the row's start, characters to its end, to the next anchor, and of its prefix; and `letters`, those after the prefix, as an array of strings of LETTERS characters."""
     b = Batch(texts)
     t = tables()
     space = t["space"][b.cp]
@@ -57,9 +60,8 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     b.take(~space)
     cp, row, n = b.cp, b.row, len(b.cp)
     letters = np.bincount(row, weights=t["letter"][cp], minlength=b.rows) if n else np.zeros(b.rows)
-    none = {k: np.empty(0, np.int64) for k in ("row", "prefix", "at", "rest", "n")}
     if n < GRAM:
-        return none
+        return {k: np.empty(0, np.int64) for k in ("row", "prefix", "at", "rest", "gap", "length")} | {"letters": np.empty(0, f"U{LETTERS}")}
     s = sums(cp)
     pos, most = np.arange(n - GRAM + 1), np.iinfo(np.uint64).max
     own = row[pos] == row[pos + GRAM - 1]
@@ -73,14 +75,18 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     enough = letters[row] >= READABLE
     here = np.flatnonzero((least[place] & own | first) & enough[: len(pos)])
     here = here[here + PREFIX <= np.searchsorted(row, row[here], "right")]
-    count = np.bincount(row[here], minlength=b.rows)[row[here]]
     short = np.flatnonzero((np.bincount(row, minlength=b.rows) <= SHORT)[row] & enough)
     short = short[short + SMALL <= np.searchsorted(row, row[short], "right")]
     start, length = np.concatenate([here, short]), np.repeat([PREFIX, SMALL], [len(here), len(short)])
     r = row[start]
+    stop = np.searchsorted(row, r, "right")
+    gap = np.minimum(np.concatenate([np.append(x[1:], n)[: len(x)] for x in (here, short)]), stop) - start
+    # the letters after the prefix; beyond the row's end blanks, which no body holds
+    where = (start + length)[:, None] + np.arange(LETTERS)
+    after = np.where(where < stop[:, None], cp[np.minimum(where, n - 1)], np.uint32(32)).astype(np.uint32)
     return {
-        "row": r.astype(np.int64), "prefix": span_hash(s, start, start + length).view(np.int64), "at": start - np.searchsorted(row, r), "rest": np.searchsorted(row, r, "right") - start,
-        "n": np.concatenate([count, np.ones(len(short), count.dtype)]),
+        "row": r.astype(np.int64), "prefix": span_hash(s, start, start + length).view(np.int64), "at": start - np.searchsorted(row, r),
+        "rest": stop - start, "gap": gap, "length": length, "letters": np.ascontiguousarray(after).view(f"U{LETTERS}").ravel(),
     }
 
 
@@ -89,22 +95,55 @@ def most_edits(size):
     return (DIFFER * size).astype(np.int64)
 
 
-def group_pairs(prefix, cell, size, record, side, at, rest, n) -> tuple[np.ndarray, ...]:
-    """All links of suffixes with one prefix and cell but different sides, in rows ordered by prefix, cell and size: least and greatest record, and the least number of anchors.
+def common_prefixes(letters: np.ndarray, length: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    """Common prefixes of neighbours in the array (place i: of i - 1 and i; 0 between groups), and their minima over 2, 4, 8.. places."""
+    m = letters.astype(f"U{LETTERS}").view(np.uint32).reshape(len(letters), -1)
+    same = m[1:] == m[:-1]
+    after = np.where(same.all(1), same.shape[1], same.argmin(1))
+    levels = [np.concatenate([[0], np.where(group[1:] == group[:-1], length[1:] + after, 0)]).astype(np.int32)]
+    while 2 << len(levels) - 1 <= len(letters):
+        step, low = 1 << len(levels) - 1, levels[-1]
+        levels.append(np.minimum(low[:-step], low[step:]))
+    return levels
+
+
+def common_prefix(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The common prefix of the suffixes at places i < j of the array."""
+    k = np.log2(j - i).astype(np.int64)
+    out = np.empty(len(i), np.int32)
+    for level in np.unique(k):
+        w = k == level
+        out[w] = np.minimum(levels[level][i[w] + 1], levels[level][j[w] + 1 - (1 << level)])
+    return out
+
+
+def shared_spans(prefix, cell, letters, length, size, record, side, at, rest, gap):
+    """(x, y, covered, size) of all shared spans of one side's record x and the other's y: characters covered, and the longer size. The array is whole groups in order.
 
     Bodies whose sizes differ by more than the edits allowed aren't alike, and an
     anchor whose distances from both ends differ by more is no common part of alike ones.
     """
-    out, most, i, k = [(np.empty(0, np.int64),) * 3], most_edits(size), np.arange(len(prefix)), 0
-    while len(i):
-        k += 1
-        i = i[i < len(prefix) - k]
-        j = i + k
-        i = i[(prefix[j] == prefix[i]) & (cell[j] == cell[i]) & (size[j] - size[i] <= most[j])]
-        j = i + k
-        linked = (side[i] != side[j]) & (record[i] != record[j]) & (np.abs(at[i] - at[j]) + np.abs(rest[i] - rest[j]) <= most[j])
-        a, b = i[linked], j[linked]
-        out.append((np.minimum(record[a], record[b]), np.maximum(record[a], record[b]), np.minimum(n[a], n[b]).astype(np.int64)))
+    group = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]) | (cell[1:] != cell[:-1])]))
+    levels = common_prefixes(letters, length, group)
+    dev, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    dev = dev[np.lexsort((size[dev], group[dev]))]
+    key = group[dev] << 32 | size[dev]
+    h_size, base = size[held].astype(np.int64), group[held] << 32
+    lo = np.searchsorted(key, base | (h_size - most_edits(h_size)))
+    hi = np.searchsorted(key, base | (h_size / (1 - DIFFER)).astype(np.int64) + 1, "right")
+    upto = np.cumsum(hi - lo)
+    out, at_once = [(np.empty(0, np.int64),) * 4], 0
+    while at_once < len(held):
+        end = max(at_once + 1, int(np.searchsorted(upto, (upto[at_once - 1] if at_once else 0) + MEET, "right")))
+        count = (hi - lo)[at_once:end]
+        j = np.repeat(held[at_once:end], count)
+        i = dev[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[at_once:end], count)]
+        longer = np.maximum(size[i], size[j])
+        keep = (record[i] != record[j]) & (np.abs(at[i] - at[j]) + np.abs(rest[i] - rest[j]) <= most_edits(longer))
+        i, j, longer = i[keep], j[keep], longer[keep]
+        span = common_prefix(levels, np.minimum(i, j), np.maximum(i, j))
+        out.append((record[i], record[j], np.minimum(span, np.minimum(gap[i], gap[j])), longer))
+        at_once = end
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -113,8 +152,26 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("source_id").agg(F.min(F.when(F.col("split") == "development", 0).otherwise(1)).alias("side"))
 
 
+def prefixes(one: DataFrame) -> DataFrame:
+    """(prefix, d, h): suffixes of either side of the classes (class, sides, body), by prefix; those with both sides."""
+
+    def run(batches):
+        for b, texts in parts(batches, 1):
+            a = anchors(texts)
+            sides = b.column(0).to_numpy()[a["row"]]
+            p, inv = np.unique(a["prefix"], return_inverse=True)
+            n = [np.bincount(inv, weights=sides & bit > 0, minlength=len(p)).astype(np.int32) for bit in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(p), *map(pa.array, n)], names=["prefix", "d", "h"])
+
+    counted = one.select("sides", "body").mapInArrow(run, "prefix bigint, d int, h int")
+    return counted.groupBy("prefix").agg(F.sum("d").alias("d"), F.sum("h").alias("h")).where("d > 0 and h > 0")
+
+
+_SUFFIX = ["prefix", "letters", "length", "size", "class", "side", "at", "rest", "gap"]
+
+
 def suffixes(one: DataFrame) -> DataFrame:
-    """(prefix, size, class, side, at, rest, n) of the anchors of classes (class, sides, body); those of both sides (3) have a row for each."""
+    """The anchors of classes (class, sides, body) as rows of _SUFFIX; those of both sides (3) have a row for each."""
 
     def run(batches):
         for b, texts in parts(batches, 2):
@@ -125,33 +182,38 @@ def suffixes(one: DataFrame) -> DataFrame:
             size = np.array([len(t) for t in texts])[a["row"]]
             number = lambda x: pa.array(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a["prefix"][at]), number(size[at]), b.column(0).take(pa.array(a["row"][at])), number(side), number(a["at"][at]), number(a["rest"][at]), number(a["n"][at])],
-                names=["prefix", "size", "class", "side", "at", "rest", "n"],
+                [pa.array(a["prefix"][at]), pa.array(a["letters"][at], pa.string()), number(a["length"][at]), number(size[at]), b.column(0).take(pa.array(a["row"][at])), number(side), *(number(a[k][at]) for k in ("at", "rest", "gap"))],
+                names=_SUFFIX,
             )
 
-    return one.select("class", "sides", "body").mapInArrow(run, "prefix bigint, size int, class bigint, side int, at int, rest int, n int")
+    return one.select("class", "sides", "body").mapInArrow(run, "prefix bigint, letters string, length int, size int, class bigint, side int, at int, rest int, gap int")
+
 
+def suffix_array(one: DataFrame) -> DataFrame:
+    """The suffixes whose prefix both sides have, each in a cell, partitioned and in order.
 
-def _cells(array: DataFrame) -> DataFrame:
-    """`array` with a cell: groups of more than BLOCK suffixes are cut into blocks of either side, and each block of one meets each of the other in a cell."""
-    crowd = array.groupBy("prefix").agg(F.count_if(F.col("side") == 0).alias("d"), F.count_if(F.col("side") == 1).alias("h")).where(f"d + h > {BLOCK} and d > 0 and h > 0")
-    crowd = boilerplate.sent_if_small(materialized(crowd.selectExpr("prefix", f"cast(ceil(d / {BLOCK}) as int) d", f"cast(ceil(h / {BLOCK}) as int) h")))
+    Groups of more than BLOCK suffixes are cut into blocks of either side, and each block of one meets each of the other in a cell.
+    """
+    both = materialized(prefixes(one))
+    array = suffixes(one).join(sent_if_small(both), "prefix")
+    blocks = lambda c: f"cast(if(d + h > {BLOCK}, ceil({c} / {BLOCK}), 1) as int)"
+    array = array.withColumn("d", F.expr(blocks("d"))).withColumn("h", F.expr(blocks("h")))
     cells = "if(side = 0, transform(sequence(0, h - 1), j -> cast(pmod(class, d) as int) * h + j), transform(sequence(0, d - 1), i -> i * h + cast(pmod(class, h) as int)))"
-    return array.join(crowd, "prefix", "left_anti").withColumn("cell", F.lit(0)).unionByName(array.join(crowd, "prefix").withColumn("cell", F.explode(F.expr(cells))).drop("d", "h"))
+    array = array.select(*_SUFFIX, F.explode(F.expr(cells)).alias("cell"))
+    return array.repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "letters")
 
 
 def candidate_pairs(array: DataFrame) -> DataFrame:
-    """(x, y): pairs of classes that share enough suffixes. `array` is partitioned by prefix and cell; groups are compared whole, whatever the batches."""
-    ordered = _cells(array).repartition("prefix", "cell").sortWithinPartitions("prefix", "cell", "size")
+    """(x, y): a class of one side and one of the other whose shared spans cover enough. Groups are compared whole, whatever the batches."""
 
     def links(cols):
-        x, y, n = group_pairs(*cols)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n.astype(np.int32))], names=["x", "y", "n"])
+        x, y, covered, size = shared_spans(*cols)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(covered.astype(np.int32)), pa.array(size.astype(np.int32))], names=["x", "y", "covered", "size"])
 
     def run(batches):
         kept = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(8)]
+            cols = [np.array(b.column(i).to_pylist(), f"U{LETTERS}") if i == 2 else b.column(i).to_numpy() for i in range(10)]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             other = np.flatnonzero((cols[0] != cols[0][-1:]) | (cols[1] != cols[1][-1:]))
@@ -159,12 +221,12 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
             kept = [c[whole:] for c in cols]
             if whole:
                 yield links([c[:whole] for c in cols])
-        if kept is not None:
+        if kept is not None and len(kept[0]):
             yield links(kept)
 
-    pairs = ordered.select("prefix", "cell", "size", "class", "side", "at", "rest", "n").mapInArrow(run, "x bigint, y bigint, n int")
-    total = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    return total.where((F.col("shared") >= SHARED) | (F.col("shared") >= COVERAGE * F.col("n"))).select("x", "y")
+    spans = array.select("prefix", "cell", "letters", "length", "size", "class", "side", "at", "rest", "gap").mapInArrow(run, "x bigint, y bigint, covered int, size int")
+    total = spans.groupBy("x", "y").agg(F.sum("covered").alias("covered"), F.max("size").alias("size"))
+    return total.where(F.col("covered") >= COVERAGE * F.col("size")).select("x", "y", F.round(F.col("covered") / F.col("size"), 6).alias("share"))
 
 
 def body(text: str, name: str | None, drop: list[int] | None) -> str:
@@ -176,21 +238,20 @@ def body(text: str, name: str | None, drop: list[int] | None) -> str:
 
 
 def bodies(pages: DataFrame, names: DataFrame, lines: DataFrame) -> DataFrame:
-    """(page_id, side, body, class) of pages (page_id, source_id, side, text), readable ones only."""
-    drop = boilerplate.sent_if_small(materialized(lines.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))))
-    src = pages.where("text is not null").join(boilerplate.sent_if_small(names), "source_id", "left").join(drop, "page_id", "left").select("page_id", "side", "text", "name", "drop")
+    """(page_id, source_id, side, body, key) of pages (page_id, source_id, side, text), readable ones only; equal bodies have an equal key of 128 bits."""
+    drop = sent_if_small(materialized(lines.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))))
+    src = pages.where("text is not null").join(sent_if_small(names), "source_id", "left").join(drop, "page_id", "left").select("page_id", "source_id", "side", "text", "name", "drop")
 
     def run(batch):
-        out: dict = {"page_id": [], "side": [], "body": []}
-        for p, s, t, n, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        out: dict = {"page_id": [], "source_id": [], "side": [], "body": []}
+        for p, source, s, t, n, d in zip(*(batch.column(i).to_pylist() for i in range(6))):
             x = body(t, n, d)
             if sum(map(str.isalpha, x)) >= READABLE:
-                out["page_id"].append(p)
-                out["side"].append(s)
-                out["body"].append(x)
+                for k, v in zip(out, (p, source, s, x)):
+                    out[k].append(v)
         yield out
 
-    return map_batches(src, "page_id bigint, side int, body string", run).withColumn("class", F.xxhash64("body", F.length("body")))
+    return map_batches(src, "page_id bigint, source_id string, side int, body string", run).withColumn("key", F.unhex(F.md5("body")))
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -267,34 +328,43 @@ def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
     return met.groupBy("cell").cogroup(held.groupBy("block")).applyInArrow(run, "x bigint, y bigint")
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dev, held) page ids of all pairs of alike pages across the splits."""
-    pages = table(spark, sf_dir, "document_page").select("page_id", "source_id", "text").join(boilerplate.sent_if_small(_sides(spark, sf_dir)), "source_id")
-    found = boilerplate.repeated_lines(spark, sf_dir).select("page_id", "line_no").distinct()
+def class_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y, share) of alike classes, of the training and the evaluation side, with the share of the longer covered by shared spans; and the members (page_id, source_id, side, class)."""
+    pages = spread(table(spark, sf_dir, "document_page").select("page_id", "source_id", "text")).join(sent_if_small(_sides(spark, sf_dir)), "source_id")
+    found = boilerplate.p6_found(spark, sf_dir)
     names = table(spark, sf_dir, "benchmark_source").groupBy("source_id").agg(F.min("source_name").alias("name"))
     text = materialized(bodies(pages, names, found).withColumn("uid", F.monotonically_increasing_id()))
-    kinds = materialized(text.groupBy("class").agg(F.min("uid").alias("uid"), F.expr("bit_or(side + 1)").alias("sides")))
-    one = text.select("uid", "body").join(boilerplate.sent_if_small(kinds), "uid").select("class", "sides", "body")
-    pairs = materialized(candidate_pairs(materialized(suffixes(one))))
-    verified = materialized(_verified(pairs, one)).unionByName(kinds.where("sides = 3").select(F.col("class").alias("x"), F.col("class").alias("y")))
-    dev = text.where("side = 0").select(F.col("page_id").alias("dev"), F.col("class").alias("x"))
-    held = text.where("side = 1").select(F.col("page_id").alias("held"), F.col("class").alias("y"))
-    ways = verified.unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    return ways.join(dev, "x").join(held, "y").select("dev", "held").distinct()
+    kinds = materialized(text.groupBy("key").agg(F.min("uid").alias("class"), F.expr("bit_or(side + 1)").alias("sides")))
+    one = text.select(F.col("uid").alias("class"), "body").join(sent_if_small(kinds.select("class", "sides")), "class").select("class", "sides", "body")
+    pairs = materialized(candidate_pairs(suffix_array(one)))
+    alike_pairs = _verified(pairs, one).join(pairs, ["x", "y"])
+    same = kinds.where("sides = 3").select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("share"))
+    return materialized(alike_pairs.unionByName(same)), text.select("page_id", "source_id", "side", "key").join(kinds.select("key", "class"), "key").drop("key")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(spark, sf_dir).select(F.least("dev", "held").alias("page_id_a"), F.greatest("dev", "held").alias("page_id_b"))
+    pairs, members = class_pairs(spark, sf_dir)
+    dev = members.where("side = 0").select(F.col("page_id").alias("dev"), F.col("class").alias("x")).distinct()
+    held = members.where("side = 1").select(F.col("page_id").alias("held"), F.col("class").alias("y")).distinct()
+    found = pairs.select("x", "y").join(dev, "x").join(held, "y")
+    return found.select(F.least("dev", "held").alias("page_id_a"), F.greatest("dev", "held").alias("page_id_b")).distinct()
 
 
 def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per pair of sources: alike pages, and whether the near-duplicate families already tell of them."""
-    pages = table(spark, sf_dir, "document_page").select("page_id", "source_id").distinct()
+    """Per pair of sources: alike pages, the least part covered by shared spans, and whether the near-duplicate families already tell of them.
+
+    Counted from the members of each class, without making the pairs of pages.
+    """
     family = table(spark, sf_dir, "document_split_assignment").groupBy("source_id").agg(F.min("near_duplicate_family").alias("family"))
-    p = overlaps(spark, sf_dir)
-    for c in ("dev", "held"):
-        p = p.join(pages.select(F.col("page_id").alias(c), F.col("source_id").alias(f"{c}_source")), c)
-    n = p.groupBy("dev_source", "held_source").agg(F.count("*").alias("pairs"), F.count_distinct("dev").alias("dev_pages"), F.count_distinct("held").alias("held_pages"))
+    pairs, members = class_pairs(spark, sf_dir)
+    n = members.groupBy("class", "side", "source_id").agg(F.count_distinct("page_id").alias("n"))
+    dev = n.where("side = 0").select(F.col("class").alias("x"), F.col("source_id").alias("dev_source"), F.col("n").alias("nx"))
+    held = n.where("side = 1").select(F.col("class").alias("y"), F.col("source_id").alias("held_source"), F.col("n").alias("ny"))
+    met = materialized(pairs.join(dev, "x").join(held, "y"))
+    both = ["dev_source", "held_source"]
+    out = met.groupBy(both).agg(F.sum(F.col("nx") * F.col("ny")).alias("pairs"), F.min("share").alias("least_share"))
+    for c, k, m in (("dev_pages", "x", "nx"), ("held_pages", "y", "ny")):
+        out = out.join(met.select(*both, k, m).distinct().groupBy(both).agg(F.sum(m).alias(c)), both)
     for c in ("dev", "held"):
-        n = n.join(family.select(F.col("source_id").alias(f"{c}_source"), F.col("family").alias(f"{c}_family")), f"{c}_source", "left")
-    return n.select("dev_source", "held_source", "pairs", "dev_pages", "held_pages", F.coalesce(F.col("dev_family") == F.col("held_family"), F.lit(False)).alias("known"))
+        out = out.join(family.select(F.col("source_id").alias(f"{c}_source"), F.col("family").alias(f"{c}_family")), f"{c}_source", "left")
+    return out.select("dev_source", "held_source", "pairs", "dev_pages", "held_pages", "least_share", F.coalesce(F.col("dev_family") == F.col("held_family"), F.lit(False)).alias("known"))
