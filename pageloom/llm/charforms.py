@@ -4,8 +4,8 @@ Characters are folded by a table derived from the Unicode database plus a small
 list of look-alike letters. Words are then looked up in a trie of the corpus's
 own vocabulary by a weighted edit automaton: a look-alike costs nothing, an
 ignorable may be skipped for nothing, any other edit costs one. A word that
-reaches a vocabulary entry within the budget takes its spelling; the rest takes
-the table's form.
+reaches a vocabulary entry within its budget (EDITS for long words of mixed
+alphabets, else none) takes its spelling; the rest takes the table's form.
 
 Defined results: null stays null, empty stays empty; letters of another
 alphabet used as such (a word wholly of that alphabet that matches no
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, materialized, table
+from .base import map_batches, materialized, sent_if_small, spread, table
 from .encoding import garbled_spans
 
 #: Letters of other alphabets and the Latin letters they look like.
@@ -43,8 +43,10 @@ _WIDE = "".join(chr(o) for o in range(0xFF01, 0xFF5F) if chr(o) not in USUAL_WID
 _FORMS = "‑⺀-⿕豈-﫿ﬀ-ﬆ̀-ͯ"
 #: Characters that may make a value a case; other alphabets' look-alikes only within or as words.
 SUSPECT = f"[{IGNORABLE}{ODD_SPACE}{_FORMS}{re.escape(_WIDE)}{''.join(LOOK_ALIKE)}]|[\U0001d400-\U0001d7ff]"
-#: Vocabulary words occur in at least so many texts.
-MIN_TEXTS = 3
+#: Vocabulary words occur in at least so many texts; about so many of them make a trie.
+MIN_TEXTS, TRIE = 2, 50_000
+#: Edits that cost which a token of at least LONG letters may take if it mixes alphabets.
+EDITS, LONG = 1, 5
 _WORD = r"[A-Za-zÀ-ÖØ-öø-ɏ]+"
 
 
@@ -90,7 +92,11 @@ class Trie:
             node[""] = weight
 
     def match(self, token: str, budget: int = 0) -> str | None:
-        """The vocabulary word of least cost for `token`, among equals the most frequent, then the smallest; None beyond the budget.
+        """The vocabulary word of least cost for `token`, among equals the most frequent, then the smallest; None beyond the budget."""
+        return (self.best(token, budget) or (0, 0, None))[2]
+
+    def best(self, token: str, budget: int = 0) -> tuple[int, int, str] | None:
+        """(cost, minus texts, word) of the vocabulary word of least cost for `token`; None beyond the budget.
 
         Free: a look-alike or a form of the table for the letters it stands for, and skipping an ignorable.
         Cost one: any other substitution, insertion or deletion.
@@ -119,7 +125,7 @@ class Trie:
                     todo += [(cost + 1, at + 1, word + c, x) for c, x in node.items() if c and c not in steps[at]]
             if cost < budget:
                 todo += [(cost + 1, at, word + c, x) for c, x in node.items() if c]
-        return best and best[2]
+        return best
 
 
 @lru_cache(None)
@@ -151,10 +157,16 @@ def suspect_tokens(text: str) -> set[str]:
     return out
 
 
-def canonical(token: str, trie: Trie | None) -> str:
-    """The spelling that belongs in the place of `token`."""
-    if trie is not None and (word := trie.match(token)) is not None:
-        return word
+def edits(token: str) -> int:
+    """The edits that cost which `token` may take: EDITS if it's long enough and mixes alphabets, so that a look-alike the table doesn't know, or a misread letter beside one it knows, finds its word; else none."""
+    form = table_form(token)
+    return EDITS if len(form) >= LONG and _OTHER.search(form) and len(_LATIN.findall(form)) * 2 > len(form) else 0
+
+
+def canonical(token: str, found: str | None) -> str:
+    """The spelling that belongs in the place of `token`: the vocabulary word `found` for it, else the table's form."""
+    if found is not None:
+        return found
     form = table_form(token)
     if _OTHER.search(form) and _LATIN.search(form):  # mixed alphabets: look-alikes take the Latin letter
         form = "".join(LOOK_ALIKE.get(c, c) for c in form)
@@ -171,7 +183,9 @@ def vocabulary(texts: DataFrame, column: str) -> DataFrame:
 def canonical_spellings(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, spelling) of each distinct token by the vocabulary (word, n).
 
-    Both sides are sent to the group of their folded first two letters, so that each group holds one part of the trie.
+    Both sides are sent to the group of their folded first two letters, where edits that cost aren't looked for.
+    The vocabulary of a group is dealt to as many tries as it takes for each to hold about TRIE words; a
+    token is looked up in all of them, and the best word of all is taken.
     """
     first = F.substring(F.lower("word"), 1, 2)
 
@@ -180,17 +194,31 @@ def canonical_spellings(tokens: DataFrame, words: DataFrame) -> DataFrame:
         return pd.Series([folded(t)[:2] for t in token], dtype=object)
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        trie = Trie(zip(right["word"].to_pylist(), right["n"].to_pylist())) if len(right) and len(left) else None
-        token = left["token"].to_pylist()
-        return pa.table({"token": pa.array(token, pa.string()), "spelling": pa.array([canonical(t, trie) for t in token], pa.string())})
+        token, best = left["token"].to_pylist(), []
+        if token and len(right):
+            trie = Trie(zip(right["word"].to_pylist(), right["n"].to_pylist()))
+            best = [(t, *x) for t in token if (x := trie.best(t, edits(t)))]
+        t, cost, n, word = zip(*best) if best else ((), (), (), ())
+        return pa.table({"token": pa.array(t, pa.string()), "cost": pa.array(cost, pa.int32()), "n": pa.array(n, pa.int64()), "word": pa.array(word, pa.string())})
+
+    words = materialized(words.withColumn("part", first))
+    tries = materialized(words.groupBy("part").agg(F.ceil(F.count("*") / TRIE).cast("int").alias("tries")))
+    a = materialized(tokens.select("token").distinct().withColumn("part", part("token")))
+    left = a.join(tries, "part").select("token", "part", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"))
+    right = words.join(sent_if_small(tries), "part").withColumn("trie", F.pmod(F.xxhash64("word"), F.col("tries")).cast("int")).join(sent_if_small(materialized(a.select("part").distinct())), "part", "left_semi")
+    met = left.groupBy("part", "trie").cogroup(right.select("part", "trie", "word", "n").groupBy("part", "trie")).applyInArrow(walk, "token string, cost int, n bigint, word string")
+    best = met.groupBy("token").agg(F.min(F.struct("cost", "n", "word"))["word"].alias("found"))
+
+    @F.pandas_udf("string")
+    def spelling(token: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([canonical(t, w) for t, w in zip(token, found)], dtype=object)
 
-    a = tokens.select("token").distinct().withColumn("part", part("token"))
-    return a.groupBy("part").cogroup(words.withColumn("part", first).groupBy("part")).applyInArrow(walk, "token string, spelling string")
+    return a.select("token").join(best, "token", "left").select("token", spelling("token", "found").alias("spelling"))
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, record_id, text) of the three fields, null texts left out."""
-    page = table(spark, sf_dir, "document_page").select(F.lit("document_page.text").alias("field_name"), F.col("page_id").alias("record_id"), "text")
+    page = spread(table(spark, sf_dir, "document_page").select(F.lit("document_page.text").alias("field_name"), F.col("page_id").alias("record_id"), "text"))
     norm = table(spark, sf_dir, "normalized_page").select(F.lit("normalized_page.raw_text").alias("field_name"), F.col("page_id").alias("record_id"), F.col("raw_text").alias("text"))
     span = table(spark, sf_dir, "evidence_span").select(F.lit("evidence_span.quote").alias("field_name"), F.col("span_id").alias("record_id"), F.col("quote").alias("text"))
     return page.unionByName(norm).unionByName(span).where("text is not null")

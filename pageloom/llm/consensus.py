@@ -23,8 +23,10 @@ LABELS = (
     "single_sentence", "multi_sentence_conditions_outcomes", "rule_plus_exception", "cross_page_clause",
     "complete_short_clause", "internally_split_clause", "adjacent_or_lexically_similar_hard_negative",
 )
-#: Rounds of expectation-maximisation, additive smoothing of the confusion matrices, and its share on the diagonal.
-ROUNDS, SMOOTHING, DIAGONAL = 12, 0.1, 2.0
+#: Rounds end when no case's probability of a label changes by more than STILL; the bound of their number only stops a run that wouldn't.
+STILL, ROUNDS = 1e-3, 100
+#: Additive smoothing of the confusion matrices, and its share on the diagonal.
+SMOOTHING, DIAGONAL = 0.1, 2.0
 
 
 def usable_drafts(drafts: DataFrame, labels=LABELS) -> DataFrame:
@@ -41,7 +43,7 @@ def usable_drafts(drafts: DataFrame, labels=LABELS) -> DataFrame:
     )
 
 
-def posteriors(votes: DataFrame, labels=LABELS, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame]:
+def posteriors(votes: DataFrame, labels=LABELS, rounds: int = ROUNDS, smoothing: float = SMOOTHING, still: float = STILL) -> tuple[DataFrame, DataFrame]:
     """Of votes (case_id, annotator_id, label): (case_id, n, p0..pk) and (annotator_id, label, c0..ck), ck = log p(label | true k)."""
     k = len(labels)
     p, c = [f"p{i}" for i in range(k)], [f"c{i}" for i in range(k)]
@@ -56,16 +58,19 @@ def posteriors(votes: DataFrame, labels=LABELS, rounds: int = ROUNDS, smoothing:
         part = people.join(seen, ["annotator_id", "label"], "left")
         share = [F.coalesce(F.col(p[i]), F.lit(0.0)) + smoothing * F.when(F.col("label") == i, DIAGONAL * k).otherwise(1.0) for i in range(k)]
         confusion = part.select("annotator_id", "label", *[share[i].alias(c[i]) for i in range(k)])
-        confusion = materialized(confusion.select("annotator_id", "label", *[F.log(F.col(c[i]) / F.sum(c[i]).over(own)).alias(c[i]) for i in range(k)]))
-        prior = post.agg(*[((F.sum(p[i]) + smoothing) / (F.count("*") + k * smoothing)).alias(p[i]) for i in range(k)]).first()
-        if prior[p[0]] is None:  # no votes
-            break
-        score = votes.join(confusion, ["annotator_id", "label"]).groupBy("case_id").agg(F.count("*").alias("n"), *[(F.sum(c[i]) + F.log(F.lit(prior[p[i]]))).alias(p[i]) for i in range(k)])
+        confusion = confusion.select("annotator_id", "label", *[F.log(F.col(c[i]) / F.sum(c[i]).over(own)).alias(c[i]) for i in range(k)])
+        # one row
+        prior = post.agg(*[F.log((F.sum(p[i]) + smoothing) / (F.count("*") + k * smoothing)).alias(f"w{i}") for i in range(k)])
+        score = votes.join(confusion, ["annotator_id", "label"]).groupBy("case_id").agg(F.count("*").alias("n"), *[F.sum(c[i]).alias(c[i]) for i in range(k)])
+        score = score.join(F.broadcast(prior)).select("case_id", "n", *[(F.col(c[i]) + F.col(f"w{i}")).alias(p[i]) for i in range(k)])
         top = F.greatest(*p)
         score = score.select("case_id", "n", *[F.exp(F.col(x) - top).alias(x) for x in p])
         total = sum((F.col(x) for x in p[1:]), F.col(p[0]))
-        post = score.select("case_id", "n", *[(F.col(x) / total).alias(x) for x in p])
-        post = materialized(post)
+        new = materialized(score.select("case_id", "n", *[(F.col(x) / total).alias(x) for x in p]).join(post.select("case_id", *[F.col(x).alias(f"o{x}") for x in p]), "case_id"))
+        moved = new.agg(F.max(F.greatest(*[F.abs(F.col(x) - F.col(f"o{x}")) for x in p]))).first()[0]
+        post = new.select("case_id", "n", *p)
+        if moved is None or moved <= still:
+            break
     return post, confusion
 
 

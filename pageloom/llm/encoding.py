@@ -20,14 +20,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_batches, table
+from .base import map_batches, spread, table
 
 #: Legacy encodings under which UTF-8 bytes are commonly misread, one byte a character.
 SINGLE_BYTE = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r")
 #: Fixed values: (encoding the text was read with, encoding its bytes are in), two bytes a character.
 DOUBLE_BYTE = (("gbk", "utf-8"), ("cp932", "utf-8"), ("big5", "gbk"), ("gbk", "big5"), ("big5", "utf-8"), ("cp932", "gbk"))
-#: Rounds of decoding for text that was misread more than once.
-MAX_DEPTH = 3
 
 _C1 = {b: chr(b) for b in range(0x80, 0xA0)}
 
@@ -116,18 +114,68 @@ def _latin_spans(text: str) -> list[tuple[int, int, str | None]]:
                 continue
             if _plausible(back):
                 out.append((x.start(), x.end(), back))
-            elif codec == "cp1252" and all(c in m["bytes"]["cp1252"] and True or ord(c) in m["bytes"]["cp1252"] or c == "\xa0" for c in back):
+            elif codec == "cp1252" and all(ord(c) in m["bytes"]["cp1252"] for c in back):
                 out.append((x.start(), x.end(), back))  # misread twice
     for x in m["gb_in_latin"].finditer(text):
-        raw = x.group().translate(m["bytes"]["cp1252"]).encode("latin-1", "ignore")
-        back = raw[: len(raw) // 2 * 2].decode("gb18030", "ignore")
-        if back and _common(back) >= 0.5 and any(c in _level1() for c in back):
-            out.append((x.start(), x.end(), back))
+        raw = x.group().translate(m["bytes"]["cp1252"]).encode("latin-1")
+        # a letter of its own before the pairs would put them out of step
+        read = [[r for r in well_formed(raw[k:], "gbk", k) if _common(r[0]) >= 0.5 and any(c in _level1() for c in r[0])] for k in (0, 1)]
+        for back, at, upto in max(read, key=lambda rs: sum(_common(r[0]) * len(r[0]) for r in rs)):
+            out.append((x.start() + at, x.start() + upto, back))
     for x in m["cyrillic_in_latin"].finditer(text):
-        out.append((x.start(), x.end(), x.group().encode("cp1251", "ignore").decode("cp1252", "ignore")))
+        out.append((x.start(), x.end(), x.group().encode("cp1251").decode("cp1252")))
     return out
 
 
+#: The pairs of bytes of the two-byte encodings, as patterns; single bytes stand for themselves.
+_PAIR = {
+    "gbk": re.compile(rb"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe])+"),
+    "big5": re.compile(rb"(?:[\x81-\xfe][\x40-\x7e\xa1-\xfe])+"),
+}
+
+
+def well_formed(raw: bytes, meant: str, shift: int = 0) -> list[tuple[str, int, int]]:
+    """The maximal runs of pairs of bytes of `raw` that the encoding `meant` decodes without a fault: decoded, with their starts and ends, counted from `shift` on."""
+    out = []
+    for m in _PAIR[meant].finditer(raw):
+        start = m.start()
+        while start < m.end():
+            try:
+                end = m.end()
+                back = raw[start:end].decode(meant)
+            except UnicodeDecodeError as e:  # up to the fault; on after its pair
+                end = start + e.start
+                back = raw[start:end].decode(meant)
+            if back:
+                out.append((back, shift + start, shift + end))
+            start = end + 2
+    return out
+
+
+def _pieces(run: str, read: str) -> list[tuple[str, bytes | None]]:
+    """`run` in pieces that the encoding it was read with can hold, with their bytes, and single characters that it can't, which come from elsewhere."""
+    out: list[tuple[str, bytes | None]] = []
+    try:
+        return [(run, run.encode(read))]
+    except UnicodeEncodeError:
+        pass
+    for c in run:
+        try:
+            raw = c.encode(read)
+        except UnicodeEncodeError:
+            raw = None
+        if raw is not None and out and out[-1][1] is not None:
+            out[-1] = (out[-1][0] + c, out[-1][1] + raw)
+        else:
+            out.append((c, raw))
+    return out
+
+
+def decoded(raw: bytes, meant: str) -> str:
+    """`raw` in the encoding `meant`; bytes that aren't well-formed in it come out as replacement marks, none vanishes."""
+    return raw.decode(meant, "replace")
+
+
 def _wide_spans(text: str) -> list[tuple[int, int, str | None]]:
     m, out = _machines(), []
     for x in m["lost"].finditer(text):
@@ -142,7 +190,10 @@ def _wide_spans(text: str) -> list[tuple[int, int, str | None]]:
         except UnicodeEncodeError:
             continue
         if (y := m["utf8"].match(raw)) and y.end() >= len(raw) - 1:
-            back = y.group().decode("utf-8", "ignore") + raw[y.end() :].decode("ascii", "ignore")
+            rest = raw[y.end() :]
+            if rest and rest[0] >= 0x80:  # half of a pair: what it belonged to is lost
+                continue
+            back = decoded(y.group(), "utf-8") + rest.decode("ascii")
             if _plausible(back) and any(c < "ƀ" or c in "“”‘’–—…€•‑" for c in back if c > "\x7f") and not (0x4E00 <= ord(back[0]) <= 0x9FFF) and (tail or back):
                 out.append((x.start(), x.end(), back))
     if m["rare"].search(text):
@@ -152,24 +203,25 @@ def _wide_spans(text: str) -> list[tuple[int, int, str | None]]:
                 continue
             best = None
             for read, meant in DOUBLE_BYTE:
-                raw = run.replace("�", "\n\n").encode(read, "ignore")
+                # characters that the encoding lacks, lost marks among them, part what was read with it and stay as they are
+                pieces = _pieces(run, read)
+                back = [t if raw is None else decoded(raw, meant) for t, raw in pieces]
                 if meant == "utf-8":
-                    parts = [p for p in m["utf8"].findall(raw)]
-                    back = "".join(p.decode("utf-8", "ignore") for p in parts)
-                    found = sum(c > " " for c in back)
-                    if found >= 2 and 3 * found >= 0.45 * len(raw) and _common(back) >= 0.6:
-                        score = found * _common(back)
-                    else:
+                    size = sum(len(raw or b"..") for _, raw in pieces)
+                    whole = "".join("".join(decoded(p, meant) for p in m["utf8"].findall(raw)) for _, raw in pieces if raw)
+                    found = sum(c > " " for c in whole)
+                    if not (found >= 2 and 3 * found >= 0.45 * size and _common(whole) >= 0.6):
                         continue
-                    whole = raw.replace(b"\n\n", "�".encode()).decode("utf-8", "replace")
+                    score = found * _common(whole)
                 else:
                     # a lost mark shifts what follows by a byte, so each piece between marks is looked at on its own
-                    pieces = [p.encode(read, "ignore").decode(meant, "ignore") for p in run.split("�")]
-                    back = "".join(p for p in pieces if sum(c > "\x7f" for c in p) >= 4 and _common(p) >= 0.7)
-                    wide = [c for c in back if c > "\x7f"]
-                    if not wide or _common(run) > 0.6 * _common(back):
+                    read_well = [y.replace("�", "") for (_, raw), y in zip(pieces, back) if raw]
+                    good = "".join(x for x in read_well if sum(c > "\x7f" for c in x) >= 4 and _common(x) >= 0.7)
+                    wide = [c for c in good if c > "\x7f"]
+                    if not wide or _common(run) > 0.6 * _common(good):
                         continue
-                    score, whole = len(wide) * _common(back) * 0.9, "�".join(pieces)
+                    score = len(wide) * _common(good) * 0.9
+                whole = "".join(back)
                 if best is None or score > best[0]:
                     best = (score, whole)
             if best:
@@ -190,11 +242,16 @@ def garbled_spans(text: str | None) -> list[tuple[int, int, str | None]]:
 
 
 def restored(text: str | None) -> str | None:
-    """`text` with its garbled spans decoded, again while that still finds spans; the rest unchanged."""
-    for _ in range(MAX_DEPTH):
+    """`text` with its garbled spans decoded, again while that still finds spans and makes the text shorter; the rest unchanged.
+
+    Each decoding of multibyte characters takes characters away, so it ends.
+    """
+    before = None
+    while before is None or text is not None and len(text) < before:
         spans = garbled_spans(text)
         if not any(back is not None for *_x, back in spans):
             break
+        before = len(text)
         parts, at = [], 0
         for start, end, back in spans:
             parts += [text[at:start], text[start:end] if back is None else back]
@@ -237,7 +294,7 @@ def garbled_flags(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "document_page")
+    pages = spread(table(spark, sf_dir, "document_page").select("page_id", "text", "quality_notes"))
     notes = pages.select("page_id", F.explode("quality_notes").alias("note"))
     return garbled_flags(pages, "page_id", "text").select(F.lit("text").alias("field_name"), "page_id").unionByName(
         garbled_flags(notes, "page_id", "note").select(F.lit("quality_notes").alias("field_name"), "page_id")

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialized, table
+from .base import materialized, spread, table
 from .tokens import count_tokens
 
 #: Items a shard is to hold; shards grow in number, not in size.
 SHARD_ITEMS = 25_000
+#: Budgets at most, as each multiplies the items.
+BUDGETS = 64
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -62,9 +64,12 @@ def pack(items: DataFrame, budgets: DataFrame, shard_items: int = SHARD_ITEMS) -
 
     `budgets` is a small table of fixed rows; each of its rows packs all items.
     """
+    budgets = budgets.select("budget_name", F.col("capacity").cast("int").alias("capacity")).distinct()
+    if (n := budgets.count()) > BUDGETS:
+        raise ValueError(f"{n} budgets; each packs all items, so at most {BUDGETS} are taken at once")
     items = items.select("item_id", F.coalesce("size", F.lit(0)).alias("size")).dropDuplicates(["item_id"])
     shards = max(1, -(-items.count() // shard_items))
-    each = items.crossJoin(F.broadcast(budgets.select("budget_name", F.col("capacity").cast("int").alias("capacity")).distinct()))
+    each = items.crossJoin(F.broadcast(budgets))
     pieces = each.select(
         "budget_name", "capacity", "item_id",
         F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"),
@@ -88,7 +93,7 @@ def pack(items: DataFrame, budgets: DataFrame, shard_items: int = SHARD_ITEMS) -
 
 
 def document_sizes(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size"))
+    return count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", tokenizer).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size"))
 
 
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

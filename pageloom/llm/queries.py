@@ -14,7 +14,7 @@ QUERIES = {
         encoding.p5_found, encoding.p5_restored,
         boilerplate.p6_found, boilerplate.p6_families, boilerplate.p6_cleaned,
         consensus.p7_found, consensus.p7_reliability, consensus.p7_agreement,
-        tokens.p8_ids, tokens.p8_roundtrip,
+        tokens.p8_ids, tokens.p8_offsets, tokens.p8_roundtrip,
         packing.p9_packed, packing.p9_fill,
         readability.p10_found, readability.p10_levels, readability.p10_profile,
     )

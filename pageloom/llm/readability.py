@@ -2,11 +2,9 @@
 
 The level grows with the share of words outside a list of familiar words and
 with the average sentence length. The list holds, per language, the words that
-stand in at least FAMILIAR_SHARE of its plainly written documents, the
-FAMILIAR_WORDS most frequent at most. Plainly written is the third of a
-language's documents with the shortest sentences: over all of them, words of
-hard texts that are merely numerous would count as familiar. Quantiles and
-frequencies are taken over all documents. Chinese is counted in pairs of
+stand in at least FAMILIAR_SHARE of its documents, all of them counted; as a
+document has finitely many words, a list is bounded by the average number of
+distinct words of a document over FAMILIAR_SHARE. Chinese is counted in pairs of
 adjacent characters and sentence length in characters.
 
 Defined results: null, empty and wordless texts have a null level; documents
@@ -20,15 +18,13 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialized, table
+from .base import materialized, spread, table
 
-#: A familiar word stands in at least this share of a language's plain documents; a list holds at most so many words.
-FAMILIAR_SHARE, FAMILIAR_WORDS = 0.2, 3000
-#: The share of a language's documents, those with the shortest sentences, that count as plainly written.
-PLAIN_SHARE = 1 / 3
+#: A familiar word stands in at least this share of a language's documents.
+FAMILIAR_SHARE = 0.01
 #: The published weights of the familiar-word formula (percentage of other words, words a sentence, constant).
 PERCENT, LENGTH, BASE = 0.1579, 0.0496, 3.6365
 #: Distinct words a worker counts before it passes them on.
@@ -63,19 +59,8 @@ def _chinese(text: str) -> bool:
     return sum(map(len, _HAN.findall(text))) * 4 > len(text)
 
 
-def plain_limits(docs: DataFrame, plain: float = PLAIN_SHARE) -> dict[str, float]:
-    """Of docs (t, l), per language the sentence length up to which documents count as plainly written; one number a language code."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sentence_length(t) for t in b.column(0).to_pylist()], pa.float64())], names=["l", "s"])
-
-    lengths = docs.select("t", "l").mapInArrow(run, "l string, s double").where("s is not null")
-    return dict(lengths.groupBy("l").agg(F.percentile_approx("s", F.lit(plain), F.lit(10000))).collect())
-
-
-def document_frequencies(docs: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """(l, word, df) of docs (t, l) within the limits: in how many documents of a language a word stands; the word '' counts the documents.
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(l, word, df) of docs (t, l): in how many documents of a language a word stands; the word '' counts the documents with words.
 
     Workers count before the shuffle.
     """
@@ -91,9 +76,8 @@ def document_frequencies(docs: DataFrame, limits: dict[str, float]) -> DataFrame
 
         for b in batches:
             for t, la in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = sentence_length(t)
-                if s is not None and s <= limits.get(la, 0):
-                    held.setdefault(la, Counter()).update({"", *words(t)})
+                if w := words(t):
+                    held.setdefault(la, Counter()).update({"", *w})
             if sum(map(len, held.values())) > HELD:
                 yield rows()
         yield rows()
@@ -101,21 +85,19 @@ def document_frequencies(docs: DataFrame, limits: dict[str, float]) -> DataFrame
     return docs.select("t", "l").mapInArrow(run, "l string, word string, df bigint").groupBy("l", "word").agg(F.sum("df").alias("df"))
 
 
-def familiar_words(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = FAMILIAR_SHARE, plain: float = PLAIN_SHARE, most: int = FAMILIAR_WORDS) -> DataFrame:
-    """(l, word): the familiar words of each language, at most `most`."""
+def familiar_words(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = FAMILIAR_SHARE) -> DataFrame:
+    """(l, word): the familiar words of each language."""
     part = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    df = document_frequencies(part, plain_limits(part, plain))
-    of = Window.partitionBy("l")
-    frequent = df.withColumn("n", F.max(F.when(F.col("word") == "", F.col("df"))).over(of)).where((F.col("word") != "") & (F.col("df") >= share * F.col("n")))
-    rank = F.row_number().over(of.orderBy(F.desc("df"), "word"))
-    return frequent.withColumn("rank", rank).where(F.col("rank") <= most).select("l", "word")
+    df = materialized(document_frequencies(part))
+    total = df.where("word = ''").select("l", F.col("df").alias("n"))  # a row a language code
+    return df.where("word <> ''").join(F.broadcast(total), "l").where(F.col("df") >= share * F.col("n")).select("l", "word")
 
 
-def reading_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = FAMILIAR_SHARE, plain: float = PLAIN_SHARE) -> DataFrame:
+def reading_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = FAMILIAR_SHARE) -> DataFrame:
     """(key, lang, unfamiliar_share, sentence_length, level) of each document; lang is the list that was used."""
     lists: dict[str, set[str]] = {}
-    # at most FAMILIAR_WORDS words for each language code
-    for la, w in familiar_words(docs, text, lang, share, plain).collect():
+    # bounded for each language code by the share (see above)
+    for la, w in familiar_words(docs, text, lang, share).collect():
         lists.setdefault(la, set()).add(w)
     known = docs.sparkSession.sparkContext.broadcast(lists)
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, lang string, unfamiliar_share double, sentence_length double"
@@ -142,7 +124,7 @@ def reading_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = materialized(reading_levels(table(spark, sf_dir, "documents")).select("doc_id", "level"))
+    levels = materialized(reading_levels(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))).select("doc_id", "level"))
     pair = table(spark, sf_dir, "reading_pair").distinct()
     side = pair.select("pair_id", F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id"))
     # the greater level; of equal ones the smaller id
@@ -152,11 +134,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level of every document, with its rank within the language as a share."""
-    levels = reading_levels(table(spark, sf_dir, "documents"))
+    levels = reading_levels(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
     return levels.select("doc_id", "lang", *[F.round(c, 6).alias(c) for c in ("unfamiliar_share", "sentence_length", "level")])
 
 
 def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per language and level, in whole levels."""
-    levels = reading_levels(table(spark, sf_dir, "documents"))
+    levels = reading_levels(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
     return levels.groupBy("lang", F.floor("level").cast("int").alias("level")).agg(F.count("*").alias("documents"))

@@ -1,19 +1,24 @@
 """Noise in text from scanned pages: find it, and repair the text into continuous paragraphs.
 
 Words are Latin-script tokens (digits of numbers masked) and, around hanzi that
-have look-alikes, windows of five characters. Over the whole corpus each word
-gets its count and a skip-gram vector: the signed random projection of the
-counts of its neighbouring words, relative to what the corpus leads to expect,
-learnt in one pass and summed over workers. A rare word is linked to a frequent
-word that differs from it only by plausible glyph edits (both fall on one key
-when the glyphs of a class are merged) and whose vector points the same way.
-Linked words are misreadings and are corrected; then furniture is removed,
-words cut at line ends are joined and lines are reflowed.
+have look-alikes, windows of five characters. Over the whole corpus each word is
+counted. A rare word and a frequent one that differs from it only by plausible
+glyph edits (both fall on one key when the glyphs of a class are merged) are a
+candidate; for the words of the candidates skip-gram vectors are trained: the
+words and their contexts (the two units before and after) get vectors that tell,
+by logistic loss, the contexts a word has from those it would have by chance.
+Training alternates: workers fit the words' vectors to those of the contexts and
+sum the contexts' gradients, until ROUNDS are done; it uses every occurrence in
+the corpus and, in place of sampled negatives, their expectation. A rare word is
+linked to its frequent neighbour if their vectors point the same way, and is a
+misreading on a page where its contexts fit the word it's linked to. Misreadings
+are corrected there; then furniture is removed, words cut at line ends are
+joined and lines are reflowed.
 
 Defined results: null and empty texts have no noise and repair to themselves; a
 hyphen that the corpus writes within lines too is its own; page numbers and
-running headers aren't searched for misreadings; pages delivered twice count
-once in the result.
+running headers aren't searched for misreadings; a word without contexts fits;
+pages delivered twice count once in the result.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, materialized, parts, table
+from .base import SENT_BYTES, map_batches, materialized, parts, sent_if_small, spread, table
 from .charforms import folded
 from .furniture import line_kinds
 from .numeric import Batch, mixed, span_hash, sums, tables
@@ -42,12 +47,20 @@ HANZI_PAIRS = (
 LATIN_CLASSES, MERGED = ("ce", "li1", "bh", "ft", "o0", "s5"), ("rn", "m")
 #: Letters read for digits within numbers.
 DIGIT_LETTERS = "osli"
-#: A rare word is at least so many times rarer than the word it is linked to; dimensions of vectors; least cosine.
-RATIO, DIMENSIONS, COSINE = 10, 8, 0.0
-#: Words in links that may be sent to every worker; beyond, pages and links are joined.
-SENT_WORDS = 1_000_000
+#: A rare word is at least so many times rarer than the word it is linked to.
+RATIO = 3
+#: Dimensions of the vectors, and buckets that the contexts are hashed into (the size of the model).
+DIMENSIONS, CONTEXTS = 32, 4096
+#: Rounds of training, steps of a word's vector in a round, negative contexts for each real one, and weight of the vectors' squares.
+ROUNDS, STEPS, NEGATIVES, SQUARES = 4, 6, 1.0, 0.5
+#: Least cosine of the vectors of linked words; least mean score of a page's contexts with the word meant.
+COSINE, FITS = 0.1, 0.0
+#: Words fitted together.
+FITTED = 512
 #: Words a worker holds before it passes their counts on.
 HELD = 400_000
+#: What stands in a window for what lies beyond a page's end.
+EDGE = 0x2E3A
 
 
 def _classes() -> dict[str, str]:
@@ -92,13 +105,13 @@ def _glyphs() -> dict[str, np.ndarray]:
 
 
 def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Of each word: row, hash, key, context hashes (two columns), and a function `text` from indices to strings."""
+    """Of each word: row, hash, key, buckets of its contexts (four columns, -1 for none), and a function `text` from indices to strings."""
     t, g = tables(), _glyphs()
     b = Batch(texts)
     cp, row = b.cp, b.row
     n = len(cp)
     if n < 8:
-        return {"row": np.empty(0, np.int64), "hash": np.empty(0, np.int64), "key": np.empty(0, np.int64), "ctx": np.empty((0, 2), np.uint64), "text": lambda i: []}
+        return {"row": np.empty(0, np.int64), "hash": np.empty(0, np.int64), "key": np.empty(0, np.int64), "ctx": np.empty((0, 4), np.int32), "text": lambda i: []}
     # words cut at a line end are whole
     cut = np.zeros(n, bool)
     i = np.flatnonzero((cp[1:-2] == 45) & (cp[2:-1] == 10) & g["latin"][cp[:-3]] & g["latin"][cp[3:]] & (row[:-3] == row[3:])) + 1
@@ -136,21 +149,24 @@ def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
     s_key = sums(key[live])
     h, k = span_hash(s_word, start, stop), span_hash(s_key, at[start], at[stop])
     r = row[start].astype(np.int64)
-    before = np.concatenate([[np.uint64(0)], np.where(r[1:] == r[:-1], k[:-1], np.uint64(0))]) if len(k) else k
-    after = np.concatenate([np.where(r[1:] == r[:-1], k[1:], np.uint64(0)), [np.uint64(0)]]) if len(k) else k
-    # windows around hanzi that have look-alikes, over the text without spaces
+    # windows around hanzi that have look-alikes, over the text without spaces; EDGE stands beyond a page's ends
     solid = ~t["space"][cp]
-    c2, r2 = np.where(digit, np.uint32(48), cp)[solid], row[solid]
-    centre = np.flatnonzero(g["han"][c2] > 0)
-    centre = centre[(centre >= 2) & (centre + 2 < len(c2))]
-    centre = centre[(r2[centre - 2] == r2[centre]) & (r2[np.minimum(centre + 2, len(c2) - 1)] == r2[centre])]
+    r2 = row[solid]
+    spot = np.arange(len(r2)) + 4 * (r2.astype(np.int64) + 1)
+    c2 = np.full(len(r2) + 4 * (b.rows + 1), EDGE, np.uint32)
+    c2[spot] = np.where(digit, np.uint32(48), cp)[solid]
+    here = np.flatnonzero(g["han"][c2[spot]] > 0)
     c_odd = np.concatenate([[0], np.cumsum(g["odd"][c2])])
-    centre = centre[c_odd[centre + 3] == c_odd[centre - 2]]
+    here = here[c_odd[spot[here] + 3] == c_odd[spot[here] - 2]]
+    centre, r2 = spot[here], r2[here]
     s2 = sums(c2)
     hw = span_hash(s2, centre - 2, centre + 3)
     kw = mixed(span_hash(s2, centre - 2, centre) * np.uint64(3) + span_hash(s2, centre + 1, centre + 3) + g["han"][c2[centre]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    left = t["mix"][c2[np.maximum(centre - 3, 0)]] if len(centre) else np.empty(0, np.uint64)
-    right = t["mix"][c2[np.minimum(centre + 3, len(c2) - 1)]] if len(centre) else np.empty(0, np.uint64)
+    unit = np.where(c2 == EDGE, -1, (mixed(t["mix"][np.where(g["han"][c2] > 0, g["han"][c2], c2)]) % np.uint64(CONTEXTS)).astype(np.int32))
+    around = [unit[centre + d] for d in (-4, -3, 3, 4)]
+    word_unit = np.concatenate([[-1, -1], (k % np.uint64(CONTEXTS)).astype(np.int32), [-1, -1]]).astype(np.int32)
+    rows_of = np.concatenate([[-1, -1], r, [-1, -1]])
+    beside = [np.where(rows_of[2 + d : len(r) + 2 + d] == r, word_unit[2 + d : len(r) + 2 + d], -1) for d in (-2, -1, 1, 2)]
     m = len(h)
 
     def text(index):
@@ -161,47 +177,35 @@ def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
         return out
 
     return {
-        "row": np.concatenate([r, r2[centre].astype(np.int64)]),
+        "row": np.concatenate([r, r2.astype(np.int64)]),
         "hash": np.concatenate([h, hw]).view(np.int64),
         "key": np.concatenate([k, kw]).view(np.int64),
-        "ctx": np.stack([np.concatenate([before, mixed(left)]), np.concatenate([after, mixed(right ^ np.uint64(1))])], 1),
+        "ctx": np.stack([np.concatenate(x) for x in zip(beside, around)], 1).astype(np.int32),
         "text": text,
     }
 
 
-_V = [f"v{i}" for i in range(DIMENSIONS)]
-
-
 def word_table(pages: DataFrame, text: str = "text") -> DataFrame:
-    """(hash, key, word, n, v0..): count and summed context projections of every word of the corpus; workers sum before the shuffle."""
-    names = ["hash", "key", "word", "n", *_V]
+    """(hash, key, word, n) of every word of the corpus; workers count before the shuffle."""
+    names = ["hash", "key", "word", "n"]
 
     def fold(held):
-        h = np.concatenate([p[0] for p in held])
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        total = np.zeros((len(u), 1 + DIMENSIONS), np.int64)
-        np.add.at(total, inv, np.concatenate([p[3] for p in held]))
+        u, first, inv = np.unique(np.concatenate([p[0] for p in held]), return_index=True, return_inverse=True)
+        n = np.bincount(inv, weights=np.concatenate([p[3] for p in held]), minlength=len(u)).astype(np.int64)
         words = [w for p in held for w in p[2]]
-        return u, np.concatenate([p[1] for p in held])[first], [words[i] for i in first.tolist()], total
+        return u, np.concatenate([p[1] for p in held])[first], [words[i] for i in first.tolist()], n
 
     def emit(p):
-        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(p[2], pa.string()), *[pa.array(np.ascontiguousarray(p[3][:, i])) for i in range(1 + DIMENSIONS)]], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(p[2], pa.string()), pa.array(p[3])], names=names)
 
     def run(batches):
         held = []
         for _, texts in parts(batches, 0):
             w = batch_words(texts)
-            u, first, inv = np.unique(w["hash"], return_index=True, return_inverse=True)
+            u, first, n = np.unique(w["hash"], return_index=True, return_counts=True)
             if not len(u):
                 continue
-            total = np.zeros((len(u), 1 + DIMENSIONS), np.int64)
-            total[:, 0] = np.bincount(inv, minlength=len(u))
-            for c in range(2):
-                x = w["ctx"][:, c]
-                bucket = (x >> np.uint64(40)).astype(np.int64) % DIMENSIONS
-                sign = np.where((x >> np.uint64(20)) & np.uint64(1), 1.0, -1.0) * (x > 0)
-                total[:, 1:] += np.bincount(inv * DIMENSIONS + bucket, weights=sign, minlength=len(u) * DIMENSIONS).astype(np.int64).reshape(-1, DIMENSIONS)
-            held.append((u, w["key"][first], w["text"](first), total))
+            held.append((u, w["key"][first], w["text"](first), n))
             if sum(len(p[0]) for p in held) > HELD:
                 held = [fold(held)]
                 if len(held[0][0]) > HELD // 2:
@@ -209,22 +213,137 @@ def word_table(pages: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield emit(fold(held))
 
-    schema = "hash bigint, key bigint, word string, n bigint, " + ", ".join(f"{v} bigint" for v in _V)
-    part = pages.where(F.col(text).isNotNull()).select(text).mapInArrow(run, schema)
-    return part.groupBy("hash").agg(F.min("key").alias("key"), F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", *_V)])
+    part = pages.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "hash bigint, key bigint, word string, n bigint")
+    return part.groupBy("hash").agg(F.min("key").alias("key"), F.min("word").alias("word"), F.sum("n").alias("n"))
+
+
+def candidates(words: DataFrame) -> DataFrame:
+    """(hash, word, n, meant_hash, meant, n_meant): rare words and the frequent word that differs by plausible glyph edits."""
+    top = words.groupBy("key").agg(F.max(F.struct("n", "word", "hash")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    x = words.join(top, "key").where((F.col("n") * RATIO <= F.col("top.n")) & (F.col("word") != F.col("top.word")))
+    return x.select("hash", "word", "n", F.col("top.hash").alias("meant_hash"), F.col("top.word").alias("meant"), F.col("top.n").alias("n_meant"))
 
 
-def links(words: DataFrame) -> DataFrame:
-    """(hash, word, n, meant, n_meant): misread words and the frequent word each is linked to."""
-    mean = words.agg(*[(F.sum(v) / F.sum("n")).alias(f"m{v}") for v in _V])  # one row
-    top = words.groupBy("key").agg(F.max(F.struct("n", "word", *_V)).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    x = words.join(top, "key").where((F.col("n") * RATIO <= F.col("top.n")) & (F.col("word") != F.col("top.word"))).join(F.broadcast(mean))
-    own = [F.col(v) - F.col("n") * F.col(f"m{v}") for v in _V]
-    far = [F.col(f"top.{v}") - F.col("top.n") * F.col(f"m{v}") for v in _V]
-    dot = sum((a * b for a, b in zip(own, far)), F.lit(0.0))
-    size = F.sqrt(sum((a * a for a in own), F.lit(0.0))) * F.sqrt(sum((a * a for a in far), F.lit(0.0)))
-    x = x.withColumn("cosine", F.coalesce(F.try_divide(dot, size), F.lit(0.0))).where(F.col("cosine") >= COSINE)
-    return x.select("hash", "word", "n", F.col("top.word").alias("meant"), F.col("top.n").alias("n_meant"), F.round("cosine", 6).alias("cosine"))
+def context_counts(pages: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(hash, bucket, n): how often a context of each bucket stands beside each of the words `wanted` (hash); with a null hash, beside any word. Workers count before the shuffle."""
+    few = wanted.count() * 16 <= SENT_BYTES
+    sent = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None)
+
+    def fold(held):
+        h, c, n = (np.concatenate([p[i] for p in held]) for i in range(3))
+        order = np.lexsort((c, h))
+        h, c, n = h[order], c[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)])
+        return h[first], c[first], np.add.reduceat(n, first) if len(first) else n
+
+    def emit(p):
+        return pa.RecordBatch.from_arrays([pa.array(p[0], pa.int64()), pa.array(p[1], pa.int32()), pa.array(p[2], pa.int64())], names=["hash", "bucket", "n"])
+
+    def run(batches):
+        every, held = np.zeros(CONTEXTS, np.int64), []
+        for _, texts in parts(batches, 0):
+            w = batch_words(texts)
+            every += np.bincount(w["ctx"][w["ctx"] >= 0], minlength=CONTEXTS)
+            take = np.isin(w["hash"], sent.value) if few else np.ones(len(w["hash"]), bool)
+            ctx = w["ctx"][take]
+            h, there = np.repeat(w["hash"][take], ctx.shape[1]), ctx.ravel() >= 0
+            held.append((h[there], ctx.ravel()[there], np.ones(there.sum(), np.int64)))
+            if sum(len(p[0]) for p in held) > HELD:
+                held = [fold(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield emit(held.pop())
+        if held:
+            yield emit(fold(held))
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(every[some])], names=["hash", "bucket", "n"])
+
+    part = pages.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "hash bigint, bucket int, n bigint")
+    if not few:
+        part = part.where("hash is null").unionByName(part.join(wanted, "hash", "left_semi"))
+    return part.groupBy("hash", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fitted(count: np.ndarray, chance: np.ndarray, u: np.ndarray, v: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """The vectors `v` of words after steps uphill: `count` holds the words' contexts (a row a word), `chance` each context's share of all, `u` the contexts' vectors."""
+    total = count.sum(1, keepdims=True)
+    drawn = count + NEGATIVES * total * chance
+    rate = 1 / (SQUARES + 0.25 * (1 + NEGATIVES) * total * max(1e-6, float((u * u).sum(1).max())) / 2)
+    for _ in range(steps):
+        score = 1 / (1 + np.exp(-np.clip(v @ u.T, -30, 30)))
+        v = v + rate * ((count - drawn * score) @ u - SQUARES * v)
+    return v
+
+
+def _first_vectors() -> np.ndarray:
+    return np.random.default_rng(17).normal(0, DIMENSIONS**-0.5, (CONTEXTS, DIMENSIONS)).astype(np.float32)
+
+
+def trained(counts: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """The contexts' vectors (a table of the model's fixed size) and (hash, vector) of each word of `counts` (hash, bucket, n)."""
+    spark = counts.sparkSession
+    chance = np.zeros(CONTEXTS, np.float32)
+    for bucket, n in counts.where("hash is null").select("bucket", "n").collect():  # CONTEXTS rows at most
+        chance[bucket] = n
+    chance /= max(1.0, chance.sum())
+    # a word has CONTEXTS buckets at most
+    words = materialized(counts.where("hash is not null").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).select("hash", F.col("c.bucket").alias("bucket"), F.col("c.n").alias("n")))
+    u = _first_vectors()
+
+    def each(batches, u):
+        for b in batches:
+            for i in range(0, b.num_rows, FITTED):
+                part = b.slice(i, FITTED)
+                buckets, n = part.column(1), part.column(2)
+                count = np.zeros((part.num_rows, CONTEXTS), np.float32)
+                rows = np.repeat(np.arange(part.num_rows), np.diff(buckets.offsets.to_numpy()))
+                count[rows, buckets.flatten().to_numpy()] = n.flatten().to_numpy()
+                yield part, count, fitted(count, chance, u, np.zeros((part.num_rows, DIMENSIONS), np.float32))
+
+    d = [f"d{i}" for i in range(DIMENSIONS)]
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(u)
+
+        def gradients(batches, sent=sent):
+            up, bend = np.zeros((CONTEXTS, DIMENSIONS)), np.zeros(CONTEXTS)
+            for _, count, v in each(batches, sent.value):
+                drawn = count + NEGATIVES * count.sum(1, keepdims=True) * chance
+                score = 1 / (1 + np.exp(-np.clip(v @ sent.value.T, -30, 30)))
+                up += (count - drawn * score).T @ v
+                bend += drawn.T @ (v * v).sum(1) / 4
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS, dtype=np.int32)), pa.array(bend), *(pa.array(np.ascontiguousarray(up[:, i])) for i in range(DIMENSIONS))], names=["bucket", "bend", *d])
+
+        moved = words.mapInArrow(gradients, f"bucket int, bend double, {', '.join(f'{x} double' for x in d)}")
+        u = u.copy()
+        for row in moved.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("bend", *d)]).collect():  # CONTEXTS rows
+            u[row[0]] += (np.array(row[2:]) - SQUARES * u[row[0]]) / (SQUARES + row[1])
+        sent.unpersist()
+    last = spark.sparkContext.broadcast(u)
+
+    def vectors(batches):
+        for part, _, v in each(batches, last.value):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel(), pa.float32()), DIMENSIONS).cast(pa.list_(pa.float32()))], names=["hash", "vector"])
+
+    return u, words.mapInArrow(vectors, "hash bigint, vector array<float>")
+
+
+def links(found: DataFrame, vectors: DataFrame, least: float = COSINE) -> DataFrame:
+    """(hash, word, n, meant, n_meant, cosine, vector): the candidates whose vectors point the same way; `vector` is that of the word meant. A word without contexts has cosine 0 and isn't linked."""
+    own = vectors.select("hash", F.col("vector").alias("own"))
+    far = vectors.select(F.col("hash").alias("meant_hash"), "vector")
+    x = found.join(own, "hash").join(far, "meant_hash")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, y: s + y)
+    cosine = F.coalesce(F.try_divide(dot("own", "vector"), F.sqrt(dot("own", "own") * dot("vector", "vector"))), F.lit(0.0))
+    return x.withColumn("cosine", F.round(cosine, 6)).where(F.col("cosine") >= least).select("hash", "word", "n", "meant", "n_meant", "cosine", "vector")
+
+
+def learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The words of all pages, the links between them, and the contexts' vectors."""
+    raw = spread(table(spark, sf_dir, "document_page").select("text"))
+    words = materialized(word_table(raw))
+    found = materialized(candidates(words))
+    wanted = materialized(found.select(F.explode(F.array("hash", "meant_hash")).alias("hash")).distinct())
+    u, vectors = trained(materialized(context_counts(raw, wanted)))
+    return words, materialized(links(found, materialized(vectors))), u
 
 
 _HAN = re.compile("[㐀-鿿]")
@@ -245,19 +364,28 @@ def words_cut(text: str) -> set[tuple[str, str]]:
     return {_halves(m) for m in _HYPHEN.finditer(text)}
 
 
-def page_noise(pages: DataFrame, linked: DataFrame) -> DataFrame:
+def fits(ctx: np.ndarray, vector: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Whether the contexts `ctx` (buckets, -1 for none; a row an occurrence) fit the words with these vectors: their mean score is FITS at least."""
+    there = ctx >= 0
+    score = np.einsum("nkd,nd->nk", u[np.maximum(ctx, 0)], vector)
+    return (score * there).sum(1) >= FITS * np.maximum(1, there.sum(1))
+
+
+def page_noise(pages: DataFrame, linked: DataFrame, u: np.ndarray) -> DataFrame:
     """(page_id, noise_kind, joined, compound, hash) of pages (page_id, text, name).
 
     Kind `cut` rows hold the two spellings of a word cut at a line end, kind `misread` rows the misread word.
     """
-    few = linked.count() <= SENT_WORDS
-    sent = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in linked.select("hash").collect()], np.int64)) if few else None)
+    few = linked.count() * (DIMENSIONS * 4 + 16) <= SENT_BYTES
+    known = sorted(linked.select("hash", "vector").collect()) if few else []
+    vectors = np.array([r[1] for r in known], np.float32).reshape(len(known), DIMENSIONS)
+    sent = pages.sparkSession.sparkContext.broadcast((np.array([r[0] for r in known], np.int64), vectors, u))
 
     def look(batch, texts):
-        out: dict = {"page_id": [], "noise_kind": [], "joined": [], "compound": [], "hash": []}
+        out: dict = {"page_id": [], "noise_kind": [], "joined": [], "compound": [], "hash": [], "ctx": []}
 
-        def add(p, kind, joined=None, compound=None, h=None):
-            for k, v in zip(out, (p, kind, joined, compound, h)):
+        def add(p, kind, joined=None, compound=None, h=None, ctx=None):
+            for k, v in zip(out, (p, kind, joined, compound, h, ctx)):
                 out[k].append(v)
 
         ids, bodies = batch.column(0).to_pylist(), []
@@ -272,21 +400,33 @@ def page_noise(pages: DataFrame, linked: DataFrame) -> DataFrame:
                 if b[0].islower() and not _HAN.search(a + b):
                     add(p, "cut", folded(a + b), folded(a + "-" + b))
         w = batch_words(bodies)
-        hit = np.isin(w["hash"], sent.value) if few else np.ones(len(w["hash"]), bool)
-        for r, h in set(zip(w["row"][hit].tolist(), w["hash"][hit].tolist())):
-            add(ids[r], "misread" if few else "word", None, None, h)
+        hashes, vector, contexts = sent.value
+        if few:
+            at = np.searchsorted(hashes, w["hash"])
+            hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == w["hash"]) if len(hashes) else np.empty(0, np.int64)
+            hit = hit[fits(w["ctx"][hit], vector[at[hit]], contexts)] if len(hit) else hit
+            for r, h in set(zip(w["row"][hit].tolist(), w["hash"][hit].tolist())):
+                add(ids[r], "misread", None, None, h)
+        else:
+            for r, h, c in zip(w["row"].tolist(), w["hash"].tolist(), w["ctx"].tolist()):
+                add(ids[r], "word", None, None, h, c)
         return out
 
     def run(batch):
         for part, texts in parts([batch], 1):
             yield look(part, texts)
 
-    noise = map_batches(pages.select("page_id", "text", "name").where("text is not null"), "page_id bigint, noise_kind string, joined string, compound string, hash bigint", run)
+    def fitting(batch):
+        hit = fits(np.array(batch.column(2).to_pylist(), np.int32).reshape(batch.num_rows, 4), np.array(batch.column(3).to_pylist(), np.float32).reshape(batch.num_rows, DIMENSIONS), sent.value[2])
+        yield {"page_id": batch.column(0).filter(pa.array(hit)), "hash": batch.column(1).filter(pa.array(hit))}
+
+    noise = map_batches(pages.select("page_id", "text", "name").where("text is not null"), "page_id bigint, noise_kind string, joined string, compound string, hash bigint, ctx array<int>", run)
     if not few:
         noise = materialized(noise)
-        misread = noise.where("noise_kind = 'word'").join(linked.select("hash"), "hash", "left_semi").select("page_id", F.lit("misread").alias("noise_kind"), "joined", "compound", "hash")
-        noise = noise.where("noise_kind <> 'word'").unionByName(misread)
-    return noise
+        met = noise.where("noise_kind = 'word'").join(linked.select("hash", "vector"), "hash").select("page_id", "hash", "ctx", "vector")
+        misread = map_batches(met, "page_id bigint, hash bigint", fitting).distinct().select("page_id", F.lit("misread").alias("noise_kind"), F.lit(None).cast("string").alias("joined"), F.lit(None).cast("string").alias("compound"), "hash")
+        noise = noise.where("noise_kind <> 'word'").drop("ctx").unionByName(misread)
+    return noise.drop("ctx")
 
 
 def compound_counts(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -297,20 +437,17 @@ def compound_counts(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "benchmark_source").groupBy("source_id").agg(F.min("source_name").alias("name"))
-    if names.count() <= SENT_WORDS:
-        names = F.broadcast(names)
-    return table(spark, sf_dir, "document_page").select("page_id", "source_id", "text").join(names, "source_id", "left").select("page_id", "text", "name")
+    pages = spread(table(spark, sf_dir, "document_page").select("page_id", "source_id", "text"))
+    return pages.join(sent_if_small(names), "source_id", "left").select("page_id", "text", "name")
 
 
 def noise_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Noise rows (page_id, noise_kind, hash); the words cut at line ends (page_id, joined); and the links."""
-    raw = table(spark, sf_dir, "document_page").select("text")
-    words = materialized(word_table(raw))
-    linked = materialized(links(words))
-    noise = materialized(page_noise(_pages(spark, sf_dir), linked))
+    words, linked, u = learnt(spark, sf_dir)
+    noise = materialized(page_noise(_pages(spark, sf_dir), linked, u))
     cut = noise.where("noise_kind = 'cut'")
     whole = words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
-    own = compound_counts(raw).select("compound", F.col("n").alias("n_compound"))
+    own = compound_counts(table(spark, sf_dir, "document_page").select("text")).select("compound", F.col("n").alias("n_compound"))
     cut = cut.join(whole, "joined", "left").join(own, "compound", "left").where("coalesce(n_compound, 0) <= coalesce(n_joined, 0)")
     return noise.where("noise_kind <> 'cut'").select("page_id", "noise_kind", "hash"), cut.select("page_id", "joined"), linked
 
@@ -327,7 +464,8 @@ _AS_DIGIT = {"o": "0", "s": "5", "l": "1", "i": "1"}
 def _correction(word: str, meant: str):
     """Pattern and replacement for one misread word; windows change their middle character, numbers their letters, other words keep their case."""
     if len(word) == len(meant) == 5 and word[:2] + word[3:] == meant[:2] + meant[3:] and _HAN.match(word[2]):
-        p = [r"\d" if c == "0" else re.escape(c) for c in word]
+        edge = ["", r"\A", "", r"\Z", ""] if ord(word[1]) == EDGE or ord(word[3]) == EDGE else [r"\A", "", "", "", r"\Z"]
+        p = [r"\d" if c == "0" else edge[i] if ord(c) == EDGE else re.escape(c) for i, c in enumerate(word)]
         return re.compile(f"({p[0]}\\s*{p[1]}\\s*){p[2]}(\\s*{p[3]}\\s*{p[4]})", re.I), lambda m: m[1] + meant[2] + m[2]
     if set(meant) == {"0"}:
         p = "".join(r"\d" if c == "0" else c for c in word)
@@ -385,5 +523,5 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every misread word of the corpus with the word it stands for."""
-    return links(materialized(word_table(table(spark, sf_dir, "document_page").select("text")))).select("word", "meant", "n", "n_meant", "cosine")
+    """Every misread word of the corpus with the word it stands for, and the cosine of their vectors."""
+    return learnt(spark, sf_dir)[1].select("word", "meant", "n", "n_meant", "cosine")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import _arrow_schema, table
+from .base import _arrow_schema, parts, spread, table
 
 #: Folder of the vocabulary files; a parameter of every function that reads one.
 TOKENIZERS = "/opt/tokenizers"
@@ -109,8 +109,8 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k",
 
     def run(batches):
         encoder = Encoder(tokenizer, folder)
-        for b in batches:
-            rows = encoder.ids(b.column(1).to_pylist())
+        for b, texts in parts(batches, 1):
+            rows = encoder.ids(texts)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(rows, arrow.field(1).type)], schema=arrow)
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -123,14 +123,27 @@ def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
 
     def run(batches):
         encoder = Encoder(tokenizer, folder)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(encoder.counts(b.column(1).to_pylist()), pa.int32())], schema=arrow)
+        for b, texts in parts(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(encoder.counts(texts), pa.int32())], schema=arrow)
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the characters that each of its ids covers: `starts` and `ends`; ids of parts of one character cover that character."""
+
+    def run(batches):
+        encoder = Encoder()
+        for b, texts in parts(batches, 1):
+            spans = [encoder.offsets(t) if t else [] for t in texts]
+            of = lambda k: pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int32()))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([b.column(0), of(0), of(1)], names=["doc_id", "starts", "ends"])
+
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id bigint, starts array<int>, ends array<int>")
 
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
