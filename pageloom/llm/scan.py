@@ -53,8 +53,10 @@ RATIO = 3
 DIMENSIONS, CONTEXTS = 32, 4096
 #: Rounds of training, steps of a word's vector in a round, negative contexts for each real one, and weight of the vectors' squares.
 ROUNDS, STEPS, NEGATIVES, SQUARES = 4, 6, 1.0, 0.5
-#: Least cosine of the vectors of linked words; least mean score of a page's contexts with the word meant.
-COSINE, FITS = 0.1, 0.0
+#: Least cosine of the vectors of linked words, for a word seen often, and the occurrences at which it's half sure: of n, it is COSINE * sqrt(n / (n + DOUBT)).
+COSINE, DOUBT = 0.7, 4
+#: Least mean score of a page's contexts with the word meant.
+FITS = 0.0
 #: Words fitted together.
 FITTED = 512
 #: Words a worker holds before it passes their counts on.
@@ -333,7 +335,8 @@ def links(found: DataFrame, vectors: DataFrame, least: float = COSINE) -> DataFr
     x = found.join(own, "hash").join(far, "meant_hash")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, y: s + y)
     cosine = F.coalesce(F.try_divide(dot("own", "vector"), F.sqrt(dot("own", "own") * dot("vector", "vector"))), F.lit(0.0))
-    return x.withColumn("cosine", F.round(cosine, 6)).where(F.col("cosine") >= least).select("hash", "word", "n", "meant", "n_meant", "cosine", "vector")
+    sure = F.sqrt(F.col("n") / (F.col("n") + DOUBT))
+    return x.withColumn("cosine", F.round(cosine, 6)).where(F.col("cosine") >= least * sure).select("hash", "word", "n", "meant", "n_meant", "cosine", "vector")
 
 
 def learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
