@@ -59,9 +59,12 @@ def sent_if_small(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan over at least as many tasks as there are cores: input of fewer row groups than cores, thus small, is dealt out."""
+    """A scan over at least as many tasks as there are cores: input of fewer row groups than cores, thus small, is dealt out.
+
+    The count observed keeps filters that are worth dealing out from moving below.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores).observe("dealt", F.count(F.lit(1))) if df.rdd.getNumPartitions() < cores else df
 
 
 #: Characters of texts that a worker looks at together; longer texts are looked at alone, whole.
