@@ -64,7 +64,7 @@ def spread(df: DataFrame) -> DataFrame:
     The count observed keeps filters that are worth dealing out from moving below.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores).observe("dealt", F.count(F.lit(1))) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores).observe(f"dealt-{uuid.uuid4().hex}", F.count(F.lit(1))) if df.rdd.getNumPartitions() < cores else df
 
 
 #: Characters of texts that a worker looks at together; longer texts are looked at alone, whole.
