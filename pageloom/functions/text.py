@@ -113,3 +113,41 @@ def chinese_number(c: Column) -> Column:
 
     value = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), zero, step, lambda s: s["total"] + s["section"] + F.greatest(s["number"], F.lit(0)))
     return F.when(c.rlike("^[0-9]+$"), F.try_to_number(c, F.lit("9" * 18)).cast("bigint")).when(c.rlike("^[零〇一二两三四五六七八九十百千万]+$"), value)
+
+
+def small_number(c: Column) -> Column:
+    """A number of up to 99 with tens, or of single digits one after the other; other numerals are null."""
+    digit = F.create_map(*[F.lit(x) for p in DIGITS.items() for x in p])
+    left, right = F.substring_index(c, "十", 1), F.substring_index(c, "十", -1)
+    tens = F.when(left == "", 1).otherwise(F.coalesce(F.try_element_at(digit, left), F.lit(1)))
+    ones = F.when(right == "", 0).otherwise(F.coalesce(F.try_element_at(digit, right), F.lit(0)))
+    each = F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.try_element_at(digit, x).cast("string")), "")
+    every = f"^[{''.join(DIGITS)}]+$"
+    return (
+        F.when(c.rlike("^[0-9]+$"), F.try_to_number(c, F.lit("9" * 18)).cast("bigint"))
+        .when(c.rlike(f"^[{''.join(DIGITS)}]*十[{''.join(DIGITS)}]*$"), (tens * 10 + ones).cast("bigint"))
+        .when(c.rlike(every), F.try_to_number(each, F.lit("9" * 18)).cast("bigint"))
+    )
+
+
+def replaced(c: Column, aliases: dict[str, str]) -> Column:
+    """`c` with each alias replaced by what it stands for, in the order given."""
+    for old, new in aliases.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def before_any(c: Column, marks) -> Column:
+    """What stands before the first of the marks; the whole text where none stands."""
+    at = F.array_min(F.filter(F.array(*[F.instr(c, F.lit(m)) for m in marks]), lambda i: i > 0))
+    return F.when(at.isNull(), c).otherwise(F.substring(c, F.lit(1), at - 1))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b; 0 / 0 is 0 and anything else over 0 infinite."""
+    return F.when(b != 0, a / b).when(a == 0, F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), F.lit(float("inf")))
+
+
+def occurrences(c: Column, words) -> Column:
+    """How often the words stand in `c`, in sum, each counted without overlaps."""
+    return sum(((F.length(c) - F.length(F.replace(c, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in words), F.lit(0.0)).cast("int")

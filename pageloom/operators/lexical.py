@@ -12,10 +12,18 @@ SENT_TOKENS = 200_000
 
 
 def corpus_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc_id, tokens): (token, n) document frequencies, counted before the shuffle; and one row (n_docs, mean_length)."""
+    """Of docs (doc_id, tokens): (token, n) document frequencies, counted before the shuffle; and one row (n_docs, mean_length).
+
+    Both come from one pass over the tokens, whose exchange all uses share: each
+    document has a row without a token, which brings its length.
+    """
+    none = F.array(F.lit(None).cast("string"))
     # explode_outer: for explode the planner adds a filter on the array's size, which makes the tokens twice
-    df = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
-    return df, docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
+    each = docs.select(F.size("tokens").alias("length"), F.explode_outer(F.concat(none, F.array_distinct("tokens"))).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.when(F.col("token").isNull(), F.col("length"))).alias("lengths"))
+    # told apart by an aggregate, so that the filters stay above the exchange
+    df, totals = counts.where("lengths is null").select("token", "n"), counts.where("lengths is not null")
+    return df, totals.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_docs"), (F.max("lengths") / F.max("n")).alias("mean_length"))
 
 
 def weights(df: DataFrame, totals: DataFrame) -> DataFrame:
@@ -26,7 +34,7 @@ def weights(df: DataFrame, totals: DataFrame) -> DataFrame:
     return each.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("weight"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) > 0 for queries (query_id, tokens), counting repeated query tokens.
 
     Only postings of query tokens are made: the token rows of a document are

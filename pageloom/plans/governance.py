@@ -51,7 +51,7 @@ def insurer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insurers held out: a subset whose sources come nearest to the share wanted (the sums are a table of insurers, chosen on the driver)."""
     n = insurer_sources(spark, sf_dir).orderBy("insurer_family")
-    rows = [(r[0], r[1]) for r in n.collect()]  # one row an insurer
+    rows = [(r[0], r[1]) for r in n.collect()]  # one row an insurer, whose number grows more slowly than the data
     chosen = select_subset(rows, round(HELD_OUT * sum(x for _, x in rows)))
     return n.where(F.col("insurer_family").isin(sorted(chosen)) if chosen else F.lit(False))
 
@@ -154,6 +154,11 @@ _SHARE = "s2 as (select distinct source_id, split from spl), j2 as (select split
 _QUAL = "cs as (select distinct * from silver_case), aq as (select version, coalesce(split, 'unassigned') split, count(*) total, count_if(initial_disagreement) disagreements, count_if(adjudicated) adjudicated, count_if(annotation_uncertain) uncertain from cs left join (select distinct source_id, split from document_split_assignment where split is not null) using (source_id) group by 1, 2)"
 _L = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 SQL = {
+    "split_subset": f"""with n as (select insurer_family f, count(distinct source_id) c from benchmark_source where insurer_family is not null group by 1),
+        l as (select list(f order by f) fs, list(c order by f) cs, round_even({HELD_OUT} * sum(c), 0) target, sum(c) total from n),
+        m as (select mask, list_sum(list_filter(cs, lambda c, i: (mask >> (i::int - 1)) & 1 = 1)) s, fs, target, total from (select *, unnest(range(1, (1 << len(fs)::int)::bigint)) mask from l)),
+        b as (select fs, mask from m where s > 0 and s < total order by abs(s - target), s, mask limit 1)
+        select f insurer_family, c n_sources from n join (select unnest(list_filter(fs, lambda x, i: (mask >> (i::int - 1)) & 1 = 1)) f from b) using (f)""",
     "family_leakage": f"with {_LEAK} select * from lk",
     "max_share": f"with {_SRC}, {_SPL}, {_SHARE} select * from ms",
     "insurer_sources": "select insurer_family, count(distinct source_id) n_sources from benchmark_source where insurer_family is not null group by 1",

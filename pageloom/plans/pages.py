@@ -14,6 +14,8 @@ SHORT, GARBLED = 80, 0.25
 SEGMENT = 600
 #: Characters of an excerpt.
 EXCERPT = 180
+#: Page numbers of a block that is hashed together.
+HASHED = 1024
 
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +68,16 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and characters of each source, and the hash over its pages' hashes in page order.
+    """Pages and characters of each source, and the hash over the hashes of its blocks of HASHED page numbers, each over its pages' hashes in page order.
 
     The pages' texts stay where they are: only hashes are gathered for a source.
     """
     p = pages(spark, sf_dir, "text").select("source_id", "page_number", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "h"))), lambda x: F.concat(x["page_number"].cast("string"), F.lit(":"), x["h"])), "\n")
-    return p.groupBy("source_id").agg(F.count("*").alias("n_pages"), F.sum("n").cast("bigint").alias("n_chars"), F.sha2(joined, 256).alias("sha256"))
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(rows), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["h"])), "\n"), 256).alias("h")
+    # hashes of blocks of pages, then of the blocks, so that no source's pages come together
+    block = p.groupBy("source_id", F.expr(f"page_number div {HASHED}").alias("at")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), joined(F.collect_list(F.struct(F.col("page_number").alias("at"), "h"))))
+    whole = joined(F.collect_list(F.struct("at", "h"))).alias("sha256")
+    return block.groupBy("source_id").agg(F.sum("k").alias("n_pages"), F.sum("n").cast("bigint").alias("n_chars"), whole)
 
 
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +127,8 @@ SQL = {
         with p as (select page_id, {_COLLAPSE.format("coalesce(text, '')")} t from {_P})
         select page_id, case when length(t) > {EXCERPT} then regexp_replace(substring(t, 1, {EXCERPT}), '[{_S}]+$', '') || '...' else t end excerpt from p""",
     "source_texts": f"""
-        select source_id, count(*) n_pages, sum(length(coalesce(text, '')))::bigint n_chars,
-               sha256(string_agg(page_number || ':' || sha256(coalesce(text, '')), chr(10) order by page_number)) sha256 from {_P} group by source_id""",
+        with b as (select source_id, page_number // {HASHED} blk, count(*) k, sum(length(coalesce(text, ''))) n, sha256(string_agg(page_number || ':' || sha256(coalesce(text, '')), chr(10) order by page_number)) h from {_P} group by 1, 2)
+        select source_id, sum(k)::bigint n_pages, sum(n)::bigint n_chars, sha256(string_agg(blk || ':' || h, chr(10) order by blk)) sha256 from b group by source_id""",
     "source_inventory": f"""
         with src as (select distinct source_id, source_name, approval, approval_reference from benchmark_source),
         n as (select source_id, count(*) n_pages, count(distinct page_number) n_numbers from {_P} group by 1)

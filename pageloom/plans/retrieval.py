@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, lexical, rewrite, vector
+from ..operators import fusion, lexical, rewrite, segment, vector
 from ..sources.tables import pages, table
+from .segmentation import PAGE_TITLES_SQL
 
 #: Every row whose id is divisible by this is a query; hits kept of each; candidates kept before re-ranking.
 EVERY, TOP, CANDIDATES = 50, 5, 20
@@ -61,13 +62,19 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical hits of a question and of its expansion (all positive ones count), fused by rank."""
+    """Hits of a question and of its expansions, by vectors (the best CANDIDATES) and by words (all positive ones count), fused by rank.
+
+    Vectors come from a provider; here it's the one that takes them from a text's hash.
+    """
     q = _questions(spark, sf_dir).select("query_id", F.posexplode(rewrite.expansions(F.col("question"))).alias("q_idx", "text"))
     key = F.concat_ws("#", "query_id", "q_idx")
+    units = pages(spark, sf_dir, "text").where("text is not null").select(F.col("page_id").alias("unit_id"), T.hash_vector(F.col("text")).alias("vector"))
+    near = vector.cosine_topk(q.select(key.alias("query_id"), T.hash_vector(F.col("text")).alias("vector")), units, CANDIDATES).select("query_id", F.col("unit_id").alias("doc_id"), "score", "rank", F.lit("vector").alias("method"), F.lit(0).alias("method_order"))
     hits = lexical.scores(_corpus(spark, sf_dir), q.select(key.alias("query_id"), T.lexical_tokens(F.col("text")).alias("tokens")))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     part = F.split("query_id", "#")
-    x = ranked.select(part[0].cast("bigint").alias("query_id"), part[1].cast("int").alias("q_idx"), F.lit("lexical").alias("method"), F.lit(1).alias("method_order"), "doc_id", "rank", "score")
+    both = ranked.select("query_id", "doc_id", "score", "rank", F.lit("lexical").alias("method"), F.lit(1).alias("method_order")).unionByName(near)
+    x = both.select(part[0].cast("bigint").alias("query_id"), part[1].cast("int").alias("q_idx"), "method", "method_order", "doc_id", "rank", "score")
     f = fusion.fuse(x).where(F.col("rank") <= TOP)
     return f.select("query_id", "doc_id", "final_score", F.col("n_details").cast("bigint").alias("n_details"), fusion.strength(F.col("final_score")).alias("strength"), "rank")
 
@@ -82,20 +89,23 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates re-ranked by rules; texts are joined to the candidates only."""
     q = _questions(spark, sf_dir)
     first = lexical.top_k(_bm25(spark, sf_dir), CANDIDATES).select("query_id", "doc_id", (1 / (fusion.RRF + F.col("rank"))).alias("final_score"), "rank")
-    text = pages(spark, sf_dir, "text").select(F.col("page_id").alias("doc_id"), "text")
-    hits = first.join(text, "doc_id").join(q.select("query_id", "question"), "query_id")
-    return rewrite.rerank(hits, TOP).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("combined_score", 6).alias("combined_score"), "new_rank")
+    p = pages(spark, sf_dir, "text")
+    hits = p.select(F.col("page_id").alias("doc_id"), "source_id", "page_number", "text").join(F.broadcast(first), "doc_id")  # CANDIDATES rows a question at most
+    hits = segment.page_titles(p).join(F.broadcast(hits), ["source_id", "page_number"]).join(F.broadcast(q.select("query_id", "question")), "query_id")
+    best = rewrite.rerank(hits, TOP)
+    return best.select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("combined_score", 6).alias("combined_score"), F.array_join("reasons", ",").alias("reasons"), "new_rank")
 
 
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens a question and its best pages share: ASCII runs, and CJK pairs in both texts."""
+    """Tokens a question and its best pages share: ASCII runs, and CJK pairs in both texts, without those that stand within another."""
     q = _questions(spark, sf_dir)
     hits = bm25_topk(spark, sf_dir).select("query_id", "doc_id")
     text = pages(spark, sf_dir, "text").select(F.col("page_id").alias("doc_id"), "text")
     j = hits.join(text, "doc_id").join(q.select("query_id", "question"), "query_id")
     shared = F.array_intersect(T.lexical_tokens(F.col("question")), T.lexical_tokens(F.col("text")))
     shown = F.filter(shared, lambda t: t.rlike("^[A-Za-z0-9]+$") | ((F.length(t) >= 2) & F.contains(F.col("question"), t) & F.contains(F.col("text"), t)))
-    return j.select("query_id", "doc_id", F.array_join(F.array_sort(shown), " ").alias("terms"))
+    whole = F.filter(shown, lambda t: ~F.exists(shown, lambda o: (o != t) & F.contains(o, t)))
+    return j.select("query_id", "doc_id", F.array_join(F.array_sort(whole), " ").alias("terms"))
 
 
 def first_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +135,34 @@ _RANK = "(select *, row_number() over (partition by query_id order by score desc
 _ANY = lambda c, terms: "(" + " or ".join(f"contains({c}, '{t}')" for t in terms) + ")"
 _EXPAND = "list_concat([trim(question)]" + "".join(f", case when {_ANY('question', tr)} then {list(te)} else [] end" for _, tr, te in rewrite.RULES) + ")"
 _ORDERED = f"list_filter({_EXPAND}, lambda x, i: list_position({_EXPAND}, x) = i)"
+_HASHED = "list_transform(range(8), lambda i: ('0x' || substring(sha256({0}), 1 + 8 * i::int, 8))::bigint / 4294967295.0)"
 _DIRECTORY = r"""(len(ls) >= 3 and len(list_filter(ls, lambda x: regexp_matches(x, '(\.{3,}|…)\s*[0-9]+\s*$') or regexp_matches(x, '^\s*(第[一二三四五六七八九十百0-9]+[条章节]|[0-9]+(\.[0-9]+)+)[^。.;；]{0,30}$'))) >= greatest(3, floor(len(ls) / 2)))"""
-_RERANK = "0.0" + "".join(
-    f" + case when {_ANY('question', tr)} then case when {_ANY('substring(text, 1, 40)', dict.fromkeys((*tr, *te)))} then 2.0 when {_ANY('text', dict.fromkeys((*tr, *te)))} then 0.5 else 0.0 end else 0.0 end" for _, tr, te in rewrite.RULES
-) + f" + case when len(list_filter(regexp_extract_all(question, '[0-9]+'), lambda n: contains(text, n))) > 0 then 0.25 else 0.0 end - case when {_DIRECTORY} then 1.0 else 0.0 end"
+
+
+def _rerank_sql() -> str:
+    """Reasons that hold, as a list of strings, over title (ti), text (tx), both, question and confidence (co)."""
+    intents = [(n, _ANY("question", t)) for n, t, _ in rewrite.RULES] + [(n, _ANY("question", t)) for n, t in rewrite.MORE_INTENTS]
+    added = {n: e for n, _, e in rewrite.RULES}
+    rows = []
+    for n, has in intents:
+        for reason, words in (("title_intent", rewrite.TITLE_WORDS.get(n)), ("wrong_title", rewrite.WRONG_TITLES.get(n))):
+            rows += [(reason, f"{has} and {_ANY('ti', words)}")] if words else []
+    by = dict(intents)
+    rows.append(("definition_title", f"{by['definition']} and ({' or '.join(h for n, h in intents if n != 'definition')}) and {_ANY('ti', rewrite.TITLE_WORDS['definition'])}"))
+    rows += [("excluding", f"{by['exclusion']} and {_ANY('bo', rewrite.EXCLUDING)}"), ("granting", f"{by['payment']} and {_ANY('bo', rewrite.GRANTING)}")]
+    terms = [(h, [w for w in (*rewrite.TITLE_WORDS.get(n, ()), *added.get(n, ())) if len(w) <= rewrite.TERM]) for n, h in intents]
+    rows.append(("exact_term", " or ".join(f"({h} and {_ANY('bo', ws)})" for h, ws in terms if ws)))
+    persons = [(f"contains(question, '{p}')", f"contains(bo, '{p}')") for p in rewrite.PERSONS]
+    rows.append(("same_person", " or ".join(f"({a} and {b})" for a, b in persons)))
+    rows.append(("other_person", f"({' or '.join(a for a, _ in persons)}) and ({' or '.join(f'(not {a} and {b})' for a, b in persons)})"))
+    rows.append(("number", "len(list_filter(regexp_extract_all(question, '[0-9]+'), lambda n: contains(bo, n))) > 0"))
+    rows.append(("clause_heading", f"regexp_matches(ti, '{rewrite.HEADING}') or regexp_matches(left(tx, {rewrite.HEAD}), '{rewrite.HEADING}')"))
+    rows += [("low_confidence", "co = 'low'"), ("directory", _DIRECTORY)]
+    return "list_filter([" + ", ".join(f"case when {c} then '{r}' end" for r, c in rows) + "], lambda x: x is not null)"
+
+
+_WEIGHT = "map {" + ", ".join(f"'{k}': {v}" for k, v in rewrite.WEIGHTS.items()) + "}"
+_TITLED = PAGE_TITLES_SQL
 SQL = {
     "bm25_corpus_stats": f"with {_STATS} select token, n df, round(weight, 6) weight from w",
     "bm25_topk": f"with {_Q}, {_STATS}, {_QT}, {_SCORES} select query_id, doc_id, score, rank from {_RANK} where rank <= {TOP}",
@@ -140,21 +174,28 @@ SQL = {
         select query_id, unit_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, unit_id desc)::int rank from s) where rank <= {TOP}""",
     "rrf_fusion": f"""with {_Q.replace('q as', 'q1 as')}, q2 as (select query_id qid, {_ORDERED} x from q1 where trim(question) <> ''),
         q as (select qid || '#' || (i - 1) query_id, x[i] question from (select qid, x, unnest(range(1, len(x) + 1)) i from q2)), {_STATS}, {_QT}, {_SCORES},
-        h as (select split_part(query_id, '#', 1)::bigint query_id, split_part(query_id, '#', 2)::int q_idx, doc_id, rank from {_RANK}),
-        f as (select query_id, doc_id, round(sum(1 / ({fusion.RRF} + rank)), 9) final_score, count(*) n_details, min((q_idx, rank)) seen from h group by 1, 2)
+        vq as (select query_id, {_HASHED.format('question')} v from q), vd as (select page_id doc_id, {_HASHED.format('text')} v from (select distinct on (page_id) * from document_page) where text is not null),
+        vr as (select query_id, doc_id, row_number() over (partition by query_id order by round(list_cosine_similarity(vq.v, vd.v), 6) desc, doc_id desc)::int rank from vq, vd),
+        a as (select query_id k, doc_id, rank, 1 m from {_RANK} union all select query_id, doc_id, rank, 0 from vr where rank <= {CANDIDATES}),
+        h as (select split_part(k, '#', 1)::bigint query_id, split_part(k, '#', 2)::int q_idx, doc_id, rank, m from a),
+        f as (select query_id, doc_id, round(sum(1 / ({fusion.RRF} + rank)), 9) final_score, count(*) n_details, min((q_idx, m, rank)) seen from h group by 1, 2)
         select query_id, doc_id, final_score, n_details, case when final_score >= 0.03 then 'high' when final_score >= 0.015 then 'medium' else 'low' end strength, rank
         from (select *, row_number() over (partition by query_id order by final_score desc, seen, doc_id)::int rank from f) where rank <= {TOP}""",
     "query_rewrite": f"""select case_id, array_to_string(list_filter([{', '.join(f"case when {_ANY('question', tr)} then '{n}' end" for n, tr, _ in rewrite.RULES)}], lambda x: x is not null), ',') intents,
         case when trim(question) = '' then '' else array_to_string({_ORDERED}, '|') end expansions from (select distinct case_id, coalesce(question, '') question from silver_case)""",
-    "rerank_topk": f"""with {_Q}, {_STATS}, {_QT}, {_SCORES},
-        h as (select r.query_id, r.doc_id, r.rank, 1 / ({fusion.RRF} + r.rank) final_score, q.question, p.text, list_filter(string_split(p.text, chr(10)), lambda x: trim(x) <> '') ls
-              from {_RANK} r join q using (query_id) join (select distinct on (page_id) * from document_page) p on p.page_id = r.doc_id where r.rank <= {CANDIDATES}),
-        k as (select *, {_RERANK} rs, {_DIRECTORY} dir from h),
-        c as (select *, round(final_score + {rewrite.RERANK_WEIGHT} * greatest(-{rewrite.RERANK_BOUND}, least({rewrite.RERANK_BOUND}, rs)) - case when dir then {rewrite.DIRECTORY_PENALTY} else 0 end, 9) cs from k)
-        select query_id, doc_id, round(rs, 6)::double rerank_score, round(cs, 6) combined_score, new_rank from (select *, row_number() over (partition by query_id order by cs desc, final_score desc, rank)::int new_rank from c) where new_rank <= {TOP}""",
+    "rerank_topk": f"""with {_Q}, {_STATS}, {_QT}, {_SCORES}, {_TITLED},
+        h as (select r.query_id, r.doc_id, r.rank, 1 / ({fusion.RRF} + r.rank) final_score, q.question, coalesce(p.text, '') tx, coalesce(pt.title, '') ti, coalesce(pt.title, '') || chr(10) || coalesce(p.text, '') bo, pt.confidence co,
+                list_filter(string_split(p.text, chr(10)), lambda x: trim(x) <> '') ls
+              from {_RANK} r join q using (query_id) join (select distinct on (page_id) * from document_page) p on p.page_id = r.doc_id join pt on pt.source_id = p.source_id and pt.page_number = p.page_number where r.rank <= {CANDIDATES}),
+        ky as (select *, {_rerank_sql()} why from h),
+        wy as (select *, coalesce(list_sum(list_transform(why, lambda x: ({_WEIGHT})[x])), 0)::double rs from ky),
+        c as (select *, round(final_score + {rewrite.RERANK_WEIGHT} * greatest(-{rewrite.RERANK_BOUND}, least({rewrite.RERANK_BOUND}, rs)) - case when list_contains(why, 'directory') then {rewrite.DIRECTORY_PENALTY} else 0 end, 9) cs from wy)
+        select query_id, doc_id, round(rs, 6) rerank_score, round(cs, 6) combined_score, array_to_string(list_filter(why, lambda x, i: list_position(why, x) = i), ',') reasons, new_rank
+        from (select *, row_number() over (partition by query_id order by cs desc, final_score desc, rank)::int new_rank from c) where new_rank <= {TOP}""",
     "matched_terms": f"""with {_Q}, {_STATS}, {_QT}, {_SCORES},
-        h as (select r.query_id, r.doc_id, q.question, p.text from {_RANK} r join q using (query_id) join (select distinct on (page_id) * from document_page) p on p.page_id = r.doc_id where r.rank <= {TOP})
-        select query_id, doc_id, array_to_string(list_sort(list_filter(list_intersect(list_distinct({_TOK.format('question')}), {_TOK.format('text')}), lambda t: regexp_full_match(t, '[A-Za-z0-9]+') or (length(t) >= 2 and contains(question, t) and contains(text, t)))), ' ') terms from h""",
+        h as (select r.query_id, r.doc_id, q.question, p.text from {_RANK} r join q using (query_id) join (select distinct on (page_id) * from document_page) p on p.page_id = r.doc_id where r.rank <= {TOP}),
+        z as (select query_id, doc_id, list_filter(list_intersect(list_distinct({_TOK.format('question')}), {_TOK.format('text')}), lambda t: regexp_full_match(t, '[A-Za-z0-9]+') or (length(t) >= 2 and contains(question, t) and contains(text, t))) ts from h)
+        select query_id, doc_id, array_to_string(list_sort(list_filter(ts, lambda t: len(list_filter(ts, lambda o: o <> t and contains(o, t))) = 0)), ' ') terms from z""",
     "first_match_rank": f"""with {_Q}, {_STATS}, {_QT}, {_SCORES},
         h as (select r.query_id, r.rank, p.source_id from {_RANK} r join (select distinct page_id, source_id from document_page) p on p.page_id = r.doc_id where r.rank <= {CANDIDATES}),
         m as (select q.query_id, min(case when h.source_id = q.source_id then h.rank end) rank from q left join h using (query_id) group by 1)
