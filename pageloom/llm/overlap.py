@@ -10,8 +10,10 @@ partition, ordered by prefix and by the letters that follow, so that suffixes
 with a common prefix are neighbours and the common prefix of any two is the
 least one between them. Suffixes of different splits with a common prefix are a
 shared span, from the anchor to the end of the common prefix or to the next
-anchor; the spans of a pair of records are merged into the part of the records
-they cover. Pairs that share enough are compared exactly by edit distance and
+anchor. A suffix brings the marks of all anchors of its record along, so that a
+pair of records is known at once to have enough in common or is dropped before
+anything is shuffled; the spans of the rest are merged into the part of the
+records they cover. These pairs are compared exactly by edit distance and
 expanded to the pairs of pages asked for.
 
 Defined results: null, empty and unreadable texts (fewer than READABLE letters
@@ -41,8 +43,8 @@ WINDOW, GRAM, PREFIX, LETTERS = 16, 8, 32, 32
 SHORT, SMALL = 120, 5
 #: Suffixes of a side in a block of a large group; suffix pairs looked at together; classes in a block of the exact comparison; pairs looked at together.
 BLOCK, MEET, CLASSES, PAIRS = 4096, 1 << 20, 8192, 64
-#: The merged shared spans of a candidate pair cover at least this share of the longer record.
-COVERAGE = 0.08
+#: Candidates share at least this share of the anchors of the record with more; bits of the table that anchors' marks are compared in.
+COVERAGE, BITS = 0.1, 2048
 #: Records are alike if at most this share of the longer one's characters differs.
 DIFFER = 0.14
 #: Letters a readable record has at least.
@@ -51,8 +53,8 @@ READABLE = 20
 _LOST = re.compile("(?:锟斤拷?|斤拷|锟|�)+[锟斤拷�]*")
 
 
-def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Of each anchor: row, hash of its prefix, place from the row's start, characters to its end, to the next anchor, and of its prefix; and `letters`, those after the prefix, as an array of strings of LETTERS characters."""
+def anchors(texts: list[str | None], order: bool = True) -> dict[str, np.ndarray]:
+    """Of each anchor: row, hash of its prefix, place from the row's start, characters to its end, to the next anchor, and of its prefix; and, for the `order` of the array, `letters`, those after the prefix, as strings of LETTERS characters."""
     b = Batch(texts)
     t = tables()
     space = t["space"][b.cp]
@@ -81,13 +83,29 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
     r = row[start]
     stop = np.searchsorted(row, r, "right")
     gap = np.minimum(np.concatenate([np.append(x[1:], n)[: len(x)] for x in (here, short)]), stop) - start
+    out = {"row": r.astype(np.int64), "prefix": span_hash(s, start, start + length).view(np.int64), "at": start - np.searchsorted(row, r), "rest": stop - start, "gap": gap, "length": length}
+    if not order:
+        return out
     # the letters after the prefix; beyond the row's end blanks, which no body holds
     where = (start + length)[:, None] + np.arange(LETTERS)
     after = np.where(where < stop[:, None], cp[np.minimum(where, n - 1)], np.uint32(32)).astype(np.uint32)
-    return {
-        "row": r.astype(np.int64), "prefix": span_hash(s, start, start + length).view(np.int64), "at": start - np.searchsorted(row, r),
-        "rest": stop - start, "gap": gap, "length": length, "letters": np.ascontiguousarray(after).view(f"U{LETTERS}").ravel(),
-    }
+    return out | {"letters": np.ascontiguousarray(after).view(f"U{LETTERS}").ravel()}
+
+
+def anchor_marks(row: np.ndarray, prefix: np.ndarray, rows: int) -> list[bytes]:
+    """Of each row the marks of its anchors, two bytes each."""
+    order = np.argsort(row, kind="stable")
+    mark = ((prefix.view(np.uint64) >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)[order]
+    cuts = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
+    return [np.unique(mark[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def mark_table(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of BITS bits, in words, of each record's marks, and the number of bits set."""
+    flat = np.frombuffer(b"".join(marks), np.uint16).astype(np.int64) % BITS
+    bits = np.zeros((len(marks), BITS), bool)
+    bits[np.repeat(np.arange(len(marks)), [len(m) // 2 for m in marks]), flat] = True
+    return np.packbits(bits, 1).view(np.uint64), bits.sum(1)
 
 
 def most_edits(size):
@@ -117,12 +135,13 @@ def common_prefix(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.
     return out
 
 
-def shared_spans(prefix, cell, letters, length, size, record, side, at, rest, gap):
-    """(x, y, covered, size) of all shared spans of one side's record x and the other's y: characters covered, and the longer size. The array is whole groups in order.
+def shared_spans(prefix, cell, letters, length, size, record, side, at, rest, gap, marks):
+    """(x, y, covered, size) of the shared spans of one side's records x and the other's y that share enough anchors: characters covered, and the longer size. The array is whole groups in order.
 
     Bodies whose sizes differ by more than the edits allowed aren't alike, and an
     anchor whose distances from both ends differ by more is no common part of alike ones.
     """
+    table_, set_ = mark_table(list(marks))
     group = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]) | (cell[1:] != cell[:-1])]))
     levels = common_prefixes(letters, length, group)
     dev, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -141,6 +160,11 @@ def shared_spans(prefix, cell, letters, length, size, record, side, at, rest, ga
         longer = np.maximum(size[i], size[j])
         keep = (record[i] != record[j]) & (np.abs(at[i] - at[j]) + np.abs(rest[i] - rest[j]) <= most_edits(longer))
         i, j, longer = i[keep], j[keep], longer[keep]
+        enough = np.zeros(len(i), np.int64)
+        for w in range(table_.shape[1]):
+            enough += np.bitwise_count(table_[i, w] & table_[j, w])
+        keep = enough >= COVERAGE * np.maximum(set_[i], set_[j])
+        i, j, longer = i[keep], j[keep], longer[keep]
         span = common_prefix(levels, np.minimum(i, j), np.maximum(i, j))
         out.append((record[i], record[j], np.minimum(span, np.minimum(gap[i], gap[j])), longer))
         at_once = end
@@ -157,7 +181,7 @@ def prefixes(one: DataFrame) -> DataFrame:
 
     def run(batches):
         for b, texts in parts(batches, 1):
-            a = anchors(texts)
+            a = anchors(texts, order=False)
             sides = b.column(0).to_numpy()[a["row"]]
             p, inv = np.unique(a["prefix"], return_inverse=True)
             n = [np.bincount(inv, weights=sides & bit > 0, minlength=len(p)).astype(np.int32) for bit in (1, 2)]
@@ -167,7 +191,7 @@ def prefixes(one: DataFrame) -> DataFrame:
     return counted.groupBy("prefix").agg(F.sum("d").alias("d"), F.sum("h").alias("h")).where("d > 0 and h > 0")
 
 
-_SUFFIX = ["prefix", "letters", "length", "size", "class", "side", "at", "rest", "gap"]
+_SUFFIX = ["prefix", "letters", "length", "size", "class", "side", "at", "rest", "gap", "marks"]
 
 
 def suffixes(one: DataFrame) -> DataFrame:
@@ -181,12 +205,13 @@ def suffixes(one: DataFrame) -> DataFrame:
             side = np.repeat([0, 1], [np.count_nonzero(sides & 1), np.count_nonzero(sides & 2)])
             size = np.array([len(t) for t in texts])[a["row"]]
             number = lambda x: pa.array(x.astype(np.int32))
+            marks = pa.array(anchor_marks(a["row"], a["prefix"], len(texts)), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a["prefix"][at]), pa.array(a["letters"][at], pa.string()), number(a["length"][at]), number(size[at]), b.column(0).take(pa.array(a["row"][at])), number(side), *(number(a[k][at]) for k in ("at", "rest", "gap"))],
+                [pa.array(a["prefix"][at]), pa.array(a["letters"][at], pa.string()), number(a["length"][at]), number(size[at]), b.column(0).take(pa.array(a["row"][at])), number(side), *(number(a[k][at]) for k in ("at", "rest", "gap")), marks.take(pa.array(a["row"][at]))],
                 names=_SUFFIX,
             )
 
-    return one.select("class", "sides", "body").mapInArrow(run, "prefix bigint, letters string, length int, size int, class bigint, side int, at int, rest int, gap int")
+    return one.select("class", "sides", "body").mapInArrow(run, "prefix bigint, letters string, length int, size int, class bigint, side int, at int, rest int, gap int, marks binary")
 
 
 def suffix_array(one: DataFrame) -> DataFrame:
@@ -204,7 +229,7 @@ def suffix_array(one: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(array: DataFrame) -> DataFrame:
-    """(x, y): a class of one side and one of the other whose shared spans cover enough. Groups are compared whole, whatever the batches."""
+    """(x, y, share): a class of one side and one of the other that share enough anchors, and the share of the longer that their merged spans cover. Groups are compared whole, whatever the batches."""
 
     def links(cols):
         x, y, covered, size = shared_spans(*cols)
@@ -213,7 +238,7 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
     def run(batches):
         kept = None
         for b in batches:
-            cols = [np.array(b.column(i).to_pylist(), f"U{LETTERS}") if i == 2 else b.column(i).to_numpy() for i in range(10)]
+            cols = [np.array(b.column(i).to_pylist(), f"U{LETTERS}") if i == 2 else b.column(i).to_numpy(zero_copy_only=i < 10) for i in range(11)]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             other = np.flatnonzero((cols[0] != cols[0][-1:]) | (cols[1] != cols[1][-1:]))
@@ -224,9 +249,9 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
         if kept is not None and len(kept[0]):
             yield links(kept)
 
-    spans = array.select("prefix", "cell", "letters", "length", "size", "class", "side", "at", "rest", "gap").mapInArrow(run, "x bigint, y bigint, covered int, size int")
+    spans = array.select("prefix", "cell", "letters", "length", "size", "class", "side", "at", "rest", "gap", "marks").mapInArrow(run, "x bigint, y bigint, covered int, size int")
     total = spans.groupBy("x", "y").agg(F.sum("covered").alias("covered"), F.max("size").alias("size"))
-    return total.where(F.col("covered") >= COVERAGE * F.col("size")).select("x", "y", F.round(F.col("covered") / F.col("size"), 6).alias("share"))
+    return total.select("x", "y", F.round(F.col("covered") / F.col("size"), 6).alias("share"))
 
 
 def body(text: str, name: str | None, drop: list[int] | None) -> str:
@@ -331,7 +356,7 @@ def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
 def class_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y, share) of alike classes, of the training and the evaluation side, with the share of the longer covered by shared spans; and the members (page_id, source_id, side, class)."""
     pages = spread(table(spark, sf_dir, "document_page").select("page_id", "source_id", "text")).join(sent_if_small(_sides(spark, sf_dir)), "source_id")
-    found = boilerplate.p6_found(spark, sf_dir)
+    found = boilerplate.equal_lines(spark, sf_dir)
     names = table(spark, sf_dir, "benchmark_source").groupBy("source_id").agg(F.min("source_name").alias("name"))
     text = materialized(bodies(pages, names, found).withColumn("uid", F.monotonically_increasing_id()))
     kinds = materialized(text.groupBy("key").agg(F.min("uid").alias("class"), F.expr("bit_or(side + 1)").alias("sides")))
