@@ -102,18 +102,21 @@ def _glyphs() -> dict[str, np.ndarray]:
         for lo, hi in ((0x80, 0xA0), (0xA1, 0xC0), (0x2C6, 0x300), (0x400, 0x530), (0x2200, 0x2300), (0x2500, 0x25A0), (0x3105, 0x3130), (0xE000, 0xF900), (0xFF61, 0xFFA0), (0xFFFD, 0xFFFE)):
             odd[lo:hi] = True
         odd[[ord(c) for c in "§«»·°£"]] = False
-        _tables.update(odd=odd, latin=latin, token=latin | t["digit"] & (np.arange(0x10000) < 128), rep=rep, han=han, digit_letter=letters)
+        shown = np.where(han > 0, han, np.arange(0x10000, dtype=np.uint32))
+        unit = (mixed(t["mix"][shown]) % np.uint64(CONTEXTS)).astype(np.int32)
+        unit[EDGE] = -1
+        _tables.update(unit=unit, odd=odd, latin=latin, token=latin | t["digit"] & (np.arange(0x10000) < 128), rep=rep, han=han, digit_letter=letters)
     return _tables
 
 
 def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Of each word: row, hash, key, buckets of its contexts (four columns, -1 for none), and a function `text` from indices to strings."""
+    """Of each word: row, hash, key; functions from indices to strings (`text`) and to the buckets of the contexts (`ctx`: four columns, -1 for none); and `units`, how often each bucket's unit stands there."""
     t, g = tables(), _glyphs()
     b = Batch(texts)
     cp, row = b.cp, b.row
     n = len(cp)
     if n < 8:
-        return {"row": np.empty(0, np.int64), "hash": np.empty(0, np.int64), "key": np.empty(0, np.int64), "ctx": np.empty((0, 4), np.int32), "text": lambda i: []}
+        return {"row": np.empty(0, np.int64), "hash": np.empty(0, np.int64), "key": np.empty(0, np.int64), "ctx": lambda i: np.empty((len(i), 4), np.int32), "text": lambda i: [], "units": np.zeros(CONTEXTS, np.int64)}
     # words cut at a line end are whole
     cut = np.zeros(n, bool)
     i = np.flatnonzero((cp[1:-2] == 45) & (cp[2:-1] == 10) & g["latin"][cp[:-3]] & g["latin"][cp[3:]] & (row[:-3] == row[3:])) + 1
@@ -164,11 +167,9 @@ def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
     s2 = sums(c2)
     hw = span_hash(s2, centre - 2, centre + 3)
     kw = mixed(span_hash(s2, centre - 2, centre) * np.uint64(3) + span_hash(s2, centre + 1, centre + 3) + g["han"][c2[centre]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    unit = np.where(c2 == EDGE, -1, (mixed(t["mix"][np.where(g["han"][c2] > 0, g["han"][c2], c2)]) % np.uint64(CONTEXTS)).astype(np.int32))
-    around = [unit[centre + d] for d in (-4, -3, 3, 4)]
     word_unit = np.concatenate([[-1, -1], (k % np.uint64(CONTEXTS)).astype(np.int32), [-1, -1]]).astype(np.int32)
     rows_of = np.concatenate([[-1, -1], r, [-1, -1]])
-    beside = [np.where(rows_of[2 + d : len(r) + 2 + d] == r, word_unit[2 + d : len(r) + 2 + d], -1) for d in (-2, -1, 1, 2)]
+    unit = g["unit"]
     m = len(h)
 
     def text(index):
@@ -178,11 +179,22 @@ def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
             out.append("".join(map(chr, part.tolist())))
         return out
 
+    def ctx(index):
+        out = np.empty((len(index), 4), np.int32)
+        word_ = index < m
+        i, c = index[word_] + 2, centre[index[~word_] - m]
+        out[word_] = np.stack([np.where(rows_of[i + d] == rows_of[i], word_unit[i + d], -1) for d in (-2, -1, 1, 2)], 1)
+        out[~word_] = np.stack([unit[c2[c + d]] for d in (-4, -3, 3, 4)], 1)
+        return out
+
+    beside = unit[c2[np.concatenate([centre - 3, centre + 3])]]
+    units = np.bincount(word_unit[2 : m + 2], minlength=CONTEXTS) + np.bincount(beside[beside >= 0], minlength=CONTEXTS)
     return {
         "row": np.concatenate([r, r2.astype(np.int64)]),
         "hash": np.concatenate([h, hw]).view(np.int64),
         "key": np.concatenate([k, kw]).view(np.int64),
-        "ctx": np.stack([np.concatenate(x) for x in zip(beside, around)], 1).astype(np.int32),
+        "ctx": ctx,
+        "units": units,
         "text": text,
     }
 
@@ -227,7 +239,7 @@ def candidates(words: DataFrame) -> DataFrame:
 
 
 def context_counts(pages: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(hash, bucket, n): how often a context of each bucket stands beside each of the words `wanted` (hash); with a null hash, beside any word. Workers count before the shuffle."""
+    """(hash, bucket, n): how often a context of each bucket stands beside each of the words `wanted` (hash); with a null hash, how often its unit stands anywhere. Workers count before the shuffle."""
     few = wanted.count() * 16 <= SENT_BYTES
     sent = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None)
 
@@ -245,9 +257,13 @@ def context_counts(pages: DataFrame, wanted: DataFrame, text: str = "text") -> D
         every, held = np.zeros(CONTEXTS, np.int64), []
         for _, texts in parts(batches, 0):
             w = batch_words(texts)
-            every += np.bincount(w["ctx"][w["ctx"] >= 0], minlength=CONTEXTS)
-            take = np.isin(w["hash"], sent.value) if few else np.ones(len(w["hash"]), bool)
-            ctx = w["ctx"][take]
+            every += w["units"]
+            if few and len(sent.value):
+                at = np.searchsorted(sent.value, w["hash"])
+                take = np.flatnonzero(sent.value[np.minimum(at, len(sent.value) - 1)] == w["hash"])
+            else:
+                take = np.arange(0 if few else len(w["hash"]))
+            ctx = w["ctx"](take)
             h, there = np.repeat(w["hash"][take], ctx.shape[1]), ctx.ravel() >= 0
             held.append((h[there], ctx.ravel()[there], np.ones(there.sum(), np.int64)))
             if sum(len(p[0]) for p in held) > HELD:
@@ -407,11 +423,11 @@ def page_noise(pages: DataFrame, linked: DataFrame, u: np.ndarray) -> DataFrame:
         if few:
             at = np.searchsorted(hashes, w["hash"])
             hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == w["hash"]) if len(hashes) else np.empty(0, np.int64)
-            hit = hit[fits(w["ctx"][hit], vector[at[hit]], contexts)] if len(hit) else hit
+            hit = hit[fits(w["ctx"](hit), vector[at[hit]], contexts)] if len(hit) else hit
             for r, h in set(zip(w["row"][hit].tolist(), w["hash"][hit].tolist())):
                 add(ids[r], "misread", None, None, h)
         else:
-            for r, h, c in zip(w["row"].tolist(), w["hash"].tolist(), w["ctx"].tolist()):
+            for r, h, c in zip(w["row"].tolist(), w["hash"].tolist(), w["ctx"](np.arange(len(w["hash"]))).tolist()):
                 add(ids[r], "word", None, None, h, c)
         return out
 

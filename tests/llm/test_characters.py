@@ -18,7 +18,7 @@ def test_trie_costs():
 
 def test_table_keeps_other_alphabets():
     assert C.table_form("полис ＡＢ⽇ﬁ\xa0x") == "полис AB日fi x"
-    assert C.canonical("полис", C.Trie([("policy", 5)])) == "полис"
+    assert C.canonical("полис", C.Trie([("policy", 5)]).match("полис", C.edits("полис"))) == "полис"
     assert C.canonical("KΤ", None) == "KT"
     assert C.table_form(None) is None and C.table_form("") == ""
 
@@ -68,3 +68,27 @@ def test_any_text_is_handled(t):
     assert all(0 <= a < b <= len(t) for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
     E.restored(t)
     C.suspect_tokens(t)
+
+
+def test_an_edit_beside_a_look_alike_finds_its_word(spark, monkeypatch):
+    t = C.Trie([("claimant", 9)])
+    assert C.edits("clаirnant") == 1 and C.edits("полис") == 0 and C.edits("cаt") == 0 and C.edits("claimant") == 0
+    assert t.match("clаimаnf", C.edits("clаimаnf")) == "claimant"  # one misread letter beside two Cyrillic ones
+    assert t.match("clаimаnf") is None
+    tokens = spark.createDataFrame([("clаimаnf",), ("clаimant",), ("полис",)], "token string")
+    words = spark.createDataFrame([("claimant", 9), ("clamp", 4), ("close", 3), ("climb", 8)], "word string, n long")
+    want = {("clаimаnf", "claimant"), ("clаimant", "claimant"), ("полис", "полис")}
+    assert rows(C.canonical_spellings(tokens, words)) == want
+    monkeypatch.setattr(C, "TRIE", 1)  # a trie for each word
+    assert rows(C.canonical_spellings(tokens, words)) == want
+
+
+def test_nothing_vanishes_in_restored_text():
+    p = PHRASES[1]
+    wrong = p.encode("gbk").decode("latin-1")
+    assert E.restored(wrong + "£") == p + "£"
+    assert E.restored("é" + wrong) == "é" + p
+    assert E.restored("x " + wrong + "£ y") == "x " + p + "£ y"
+    # characters that the wrong encoding lacks come from elsewhere and stay
+    mixed = p.encode("utf-8").decode("cp932", "replace")
+    assert "☃" in (E.restored(mixed[:12] + "☃" + mixed[12:]) or "")

@@ -88,7 +88,29 @@ def test_repeated_lines_against_brute_force(spark, make_dir):
 def test_masked_lines():
     m = B.masked_lines(["Share this page with a friend of yours: 12", "x\n  SHARE this  page with a friend of yours: 9!\nShare that page with a friend of yours: 9", None, ""])
     assert m["line_no"].tolist() == [1, 2, 3] and m["row"].tolist() == [0, 1, 1]
-    assert m["exact"][0] == m["exact"][1] != m["exact"][2] and m["bucket"][0] == m["bucket"][1]
+    assert m["exact"][0] == m["exact"][1] != m["exact"][2] and m["check"][0] == m["check"][1] != m["check"][2]
+    assert (m["bands"][0] == m["bands"][1]).all()
+
+
+def test_names_and_dates_are_masked_for_likeness():
+    a = "On January 5, 2031 this notice was sent by Northwind Life to all of its members"
+    b = "On 12 March 2032 this notice was sent by Southgale Mutual to all of its members"
+    m = B.masked_lines([a, b], ["Northwind Life", "Southgale Mutual"], shingles=True)
+    ends = np.cumsum(m["size"])
+    one, two = (set(m["shingle"][e - n : e].tolist()) for e, n in zip(ends, m["size"]))
+    assert m["exact"][0] != m["exact"][1] and len(one & two) / len(one | two) > 0.9
+
+
+def test_near_duplicate_lines_join_their_cluster(spark, make_dir):
+    notice = "温馨提示：以上内容以本公司最终签发的保险单为准，请妥善保管"
+    near = notice.replace("妥善", "妥普")
+    pages = [page(i, f"第{i}页正文内容各不相同甲乙丙丁{i * 7919}\n" + (near if i in (3, 8) else notice), f"s{i}") for i in range(10)]
+    pages[9] = page(9, "扫码关注服务号，分享给家人一起了解保障内容", "s9")
+    d = make_dir(document_page=pages, benchmark_source=[source(f"s{i}", insurer="A") for i in range(10)])
+    # near-duplicates are removed and counted, but only equal lines are cases
+    assert rows(B.p6_found(spark, d)) == {(i, 2) for i in range(9) if i not in (3, 8)}
+    assert [(r.n_sources, r.lines, r.variants) for r in B.p6_families(spark, d).collect()] == [(9, 9, 2)]
+    assert all("保险单" not in r.text for r in B.p6_cleaned(spark, d).collect())
 
 
 def test_furniture():
@@ -117,12 +139,52 @@ def test_scan_noise(spark, make_dir):
     assert len({fixed[i] for i in (1, 100, 101, 102, 103, 105, 106)}) == 1 and "self-employed" in fixed[104]
 
 
-def test_vectors_point_the_same_way_for_like_contexts(spark):
-    texts = [f"the {w} was paid on monday" for w in ["premium"] * 60 + ["prernium"] * 3] + ["a horse ran over green hills today"] * 40
+def corpus():
+    a = [f"the {w} was paid on monday by the member of the plan" for w in ["premium"] * 90 + ["prernium"] * 6]
+    b = ["if the insured person asks us to do so we pay", "it may be that a claim is late but it is paid"] * 40
+    return [*a, *b, *["a horse ran over green hills today"] * 40]
+
+
+def vectors_of(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    w = {r.word: np.array([r[v] for v in S._V], float) / r.n for r in S.word_table(df).collect()}
-    cos = lambda a, b: w[a] @ w[b] / np.linalg.norm(w[a]) / np.linalg.norm(w[b])
-    assert cos("premium", "prernium") > 0.9
+    words = S.word_table(df).cache()
+    found = S.candidates(words).cache()
+    u, v = S.trained(S.context_counts(df, words.select("hash")))
+    return words, found, v, u
+
+
+def test_trained_vectors_tell_like_contexts_from_unlike_ones(spark):
+    words, found, v, _ = vectors_of(spark, corpus())
+    vec = {r.word: np.array(r.vector) for r in words.join(v, "hash").collect()}
+    cos = lambda a, b: vec[a] @ vec[b] / np.linalg.norm(vec[a]) / np.linalg.norm(vec[b])
+    assert len(vec["premium"]) == S.DIMENSIONS >= 32
+    assert cos("premium", "prernium") > 0.9 > 0.5 > max(cos("premium", w) for w in ("horse", "hills", "claim", "late"))
+
+
+def test_the_vectors_decide_the_links(spark):
+    texts = corpus() + ["fhe"] * 1 + ["green hills rnay ran today over a horse"] * 3 + ["it may be"] * 30
+    _, found, v, _ = vectors_of(spark, texts)
+    pairs = {(r.word, r.meant) for r in found.collect()}
+    linked = {(r.word, r.meant) for r in S.links(found, v).collect()}
+    assert ("prernium", "premium") in linked
+    # the same glyphs in contexts of another word are no misreading
+    assert ("rnay", "may") in pairs - linked and linked < pairs
+
+
+def test_fits_by_context():
+    rng = np.random.default_rng(1)
+    u = rng.normal(size=(S.CONTEXTS, S.DIMENSIONS)).astype(np.float32)
+    v = np.stack([u[7], u[7]])
+    assert S.fits(np.array([[7, 7, -1, -1], [-1, -1, -1, -1]], np.int32), v, u).tolist() == [True, True]
+    assert not S.fits(np.array([[9, -1, -1, -1]], np.int32), -u[9:10], u).any()
+
+
+def test_misreadings_at_the_edges_of_a_page(spark, make_dir):
+    pages = [page(i, "本公司按约定给付保险金") for i in range(40)] + [page(99, "木公司按约定给付保险全")]
+    d = make_dir(document_page=pages, benchmark_source=[source("s1")])
+    assert rows(S.p4_found(spark, d)) == {(99, "misread")}
+    fixed = {r.page_id: r.text for r in S.p4_repaired(spark, d).collect()}
+    assert fixed[99] == fixed[1]
 
 
 def test_reading_levels(spark, make_dir):
@@ -132,6 +194,9 @@ def test_reading_levels(spark, make_dir):
     docs = [{"doc_id": i, "text": t, "lang": "en"} for i, t in enumerate([*plain, *mid, *hard])] + [{"doc_id": 90, "text": hard[0], "lang": None}, {"doc_id": 91, "text": None}, {"doc_id": 92, "text": "12 34"}]
     d = make_dir(documents=docs, reading_pair=[{"pair_id": 1, "doc_id_a": 0, "doc_id_b": 20}, {"pair_id": 2, "doc_id_a": 40, "doc_id_b": 20}, {"pair_id": 2, "doc_id_a": 40, "doc_id_b": 20}])
     assert rows(R.p10_found(spark, d)) == {(1, 20), (2, 40)}
-    level = {r.doc_id: r for r in R.p10_levels(spark, d).collect()}
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    level = {r.doc_id: r for r in R.reading_levels(df, share=0.5).collect()}
+    assert len(rows(R.familiar_words(df, share=0.5))) < len(rows(R.familiar_words(df)))
+    level = {r.doc_id: r for r in R.reading_levels(df, share=0.3).collect()}
     assert level[90].level == level[40].level and level[90].lang == "en" and level[91].level is None and level[92].level is None
     assert level[0].unfamiliar_share == 0 and level[40].unfamiliar_share > 0.5

@@ -1,7 +1,10 @@
 """Jobs that were once done in part only."""
 
+import os
 import random
 
+import numpy as np
+
 from pageloom.llm import encoding as E
 from pageloom.llm import overlap as O
 
@@ -17,30 +20,56 @@ def test_notes_are_restored(spark, make_dir):
     assert {k[:2] for k in got} == rows(E.p5_found(spark, d))
 
 
-ARRAY = "prefix long, size int, class long, side int, at int, rest int, n int"
+def crowd(n=48):
+    """Bodies (class, sides, body) that all share a sentence of 40 characters; the last eight, of the other side, are changed copies of some."""
+    rng = random.Random(9)
+    shared = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    make = lambda k: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(k))
+    texts = [make(150) + shared + make(160) for _ in range(n)]
+    for k in range(8):
+        t = list(texts[3 * k])
+        for i in rng.sample(range(len(t)), 4 * k):
+            t[i] = "某"
+        texts.append("".join(t))
+    return [(i, 1 if i < n else 2, t) for i, t in enumerate(texts)]
 
 
-def test_two_shared_anchors_are_enough_in_a_crowd(spark):
-    crowd = [(p, 600, 100 + k, 0, 40 * p, 600 - 40 * p, 20) for p in (1, 2) for k in range(30)]
-    held = [(p, 600, 200, 1, 40 * p, 600 - 40 * p, 20) for p in (1, 2)]
-    assert rows(O.candidate_pairs(spark.createDataFrame(crowd + held, ARRAY))) == {(100 + k, 200) for k in range(30)}
+def alike_in(spark, bodies):
+    one = spark.createDataFrame(bodies, "class long, sides int, body string")
+    return {(r.x, r.y) for r in O._verified(O.candidate_pairs(O.suffix_array(one)), one).collect()}
 
 
-def test_groups_are_compared_across_batches(spark):
-    array = spark.createDataFrame([(1, 600 + (k == 900), k, int(k == 900), 40, 560, 1) for k in range(901)], ARRAY)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+def test_crowds_are_compared_in_full_whatever_the_batches_and_blocks(spark, monkeypatch):
+    bodies = crowd()
+    want = {(a, b) for a, s, x in bodies for b, u, y in bodies if s == 1 and u == 2 and O.alike(x, y)}
+    assert len(want) == 8 and alike_in(spark, bodies) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     try:
-        assert rows(O.candidate_pairs(array)) == {(k, 900) for k in range(900)}
+        assert alike_in(spark, bodies) == want
+        monkeypatch.setattr(O, "BLOCK", 16)
+        monkeypatch.setattr(O, "MEET", 32)
+        assert alike_in(spark, bodies) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_large_groups_are_compared_in_full_by_blocks(spark, monkeypatch):
-    array = spark.createDataFrame([(1, 600, k, int(k >= 40), 40, 560, 1) for k in range(70)], ARRAY)
-    monkeypatch.setattr(O, "BLOCK", 16)
-    cells = O._cells(array).groupBy("cell").count().collect()
-    assert len(cells) == 6 and max(r["count"] for r in cells) < 35
-    assert rows(O.candidate_pairs(array)) == {(i, j) for i in range(40) for j in range(40, 70)}
+def test_same_pairs_at_any_batch_size(spark, make_dir):
+    pages = [page(i, t, f"s{i % 3}" if side == 1 else "h") for i, side, t in crowd(30)]
+    d = make_dir(document_page=pages, document_split_assignment=[{"source_id": s, "split": "held_out" if s == "h" else "development"} for s in ("s0", "s1", "s2", "h")])
+    found = []
+    for n in ("200", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        found.append(rows(O.p2_found(spark, d)))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and len(found[0]) == 8
+
+
+def test_common_prefixes_of_the_array():
+    words = sorted("".join(random.Random(i).choice("ab") for _ in range(O.LETTERS)) for i in range(40))
+    levels = O.common_prefixes(np.array(words, f"U{O.LETTERS}"), np.full(40, 5), np.zeros(40, np.int64))
+    i, j = (np.array(x) for x in zip(*[(i, j) for i in range(40) for j in range(i + 1, 40)]))
+    want = [5 + len(os.path.commonprefix([words[a], words[b]])) for a, b in zip(i, j)]
+    assert O.common_prefix(levels, i, j).tolist() == want
 
 
 def test_anchors_of_a_text_do_not_depend_on_its_batch():
@@ -49,7 +78,7 @@ def test_anchors_of_a_text_do_not_depend_on_its_batch():
     together = O.anchors(["", *texts, None])
     for i, t in enumerate(texts, 1):
         alone, at = O.anchors([t]), together["row"] == i
-        assert {*zip(alone["prefix"], alone["at"], alone["rest"], alone["n"])} == {*zip(*(together[c][at] for c in ("prefix", "at", "rest", "n")))}
+        assert {*zip(*(alone[c] for c in ("prefix", "at", "rest", "gap", "letters")))} == {*zip(*(together[c][at] for c in ("prefix", "at", "rest", "gap", "letters")))}
         assert 0 in alone["at"] and (alone["at"] + alone["rest"] == len(t)).all()
 
 
