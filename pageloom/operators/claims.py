@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,46 @@ def term_numbers(text: Column, terms=TERMS) -> Column:
     return F.array_distinct(F.flatten(F.transform(fragments, of)))
 
 
+#: What joins two terms, and what says that both have the number that follows.
+JOINING, BOTH = ("与", "和", "及", "或", " and ", " or ", " und ", " et "), ("均为", "都是", "皆为", " both ", " each ")
+
+
+def term_facts(text: Column, terms=TERMS, aliases: dict[str, str] | None = None) -> Column:
+    """Distinct 'term=number' facts of a text: every term with the first number after it and before the next term or joining word, in its fragment; terms that are joined share the number if a word says so.
+
+    `aliases` maps a term to the one it's written as.
+    """
+    terms = sorted(terms, key=lambda t: (-len(t), t))
+    known = "|".join(re.escape(t) for t in terms)
+    piece = f"({known}|{NUMBER}|{'|'.join(JOINING + BOTH)})"
+    none = F.expr("cast(array() as array<string>)")
+    zero = F.struct(none.alias("open"), F.lit(False).alias("joined"), F.lit(False).alias("both"), none.alias("out"))
+
+    def step(s, x):
+        term, number = x.isin(*terms), x.rlike("^[0-9]")
+        opened = F.when(s["joined"], F.array_append(s["open"], x)).otherwise(F.array(x))
+        meant = F.when(s["both"], s["open"]).otherwise(F.slice(s["open"], -1, 1))
+        value = T.normalized_number(F.regexp_replace(F.regexp_replace(x, "\\s", ""), "日$", "天"))
+        facts = F.when(s["joined"] | (F.size(s["open"]) == 0), none).otherwise(F.transform(meant, lambda t: F.concat(t, F.lit("="), value)))
+        return (
+            F.when(term, F.struct(opened.alias("open"), F.lit(False).alias("joined"), F.lit(False).alias("both"), s["out"].alias("out")))
+            .when(number, F.struct(none.alias("open"), F.lit(False).alias("joined"), F.lit(False).alias("both"), F.concat(s["out"], facts).alias("out")))
+            .when(x.isin(*BOTH), F.struct(s["open"].alias("open"), s["joined"].alias("joined"), F.lit(True).alias("both"), s["out"].alias("out")))
+            .otherwise(F.struct(s["open"].alias("open"), (F.size(s["open"]) > 0).alias("joined"), s["both"].alias("both"), s["out"].alias("out")))
+        )
+
+    found = F.transform(F.split(T.without_thousands(text), FRAGMENT), lambda f: F.aggregate(F.regexp_extract_all(f, F.lit(piece), F.lit(1)), zero, step, lambda s: s["out"]))
+    facts = F.flatten(found)
+
+    def named(x):
+        out = x
+        for old, new in (aliases or {}).items():
+            out = F.when(x.startswith(old + "="), F.concat(F.lit(new), F.substring(x, F.lit(len(old) + 1), F.length(x)))).otherwise(out)
+        return out
+
+    return F.array_distinct(F.transform(facts, named))
+
+
 def mentions(text: Column, terms=TERMS) -> Column:
     return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 

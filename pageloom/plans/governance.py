@@ -10,8 +10,8 @@ from ..operators.govern import LABELS, select_subset
 
 #: Cases planned a source; sources of the systematic sample; share of sources to hold out.
 CASES, SAMPLE, HELD_OUT = 3, 20, 0.3
-#: Release gates: least cases of the evaluation side, greatest shares of uncertain cases and of one family.
-LEAST_CASES, MOST_UNCERTAIN, MOST_SHARE = 200, 0.10, 0.05
+#: Bounds of the release gates: least certain cases of the evaluation side and of a stratum, greatest rates of uncertain cases of all and of a stratum, greatest share of a family.
+LEAST_CASES, LEAST_STRATUM, MOST_UNCERTAIN, MOST_OF_STRATUM, MOST_SHARE = 200, 30, 0.10, 0.15, 0.05
 
 
 def _sources(spark, sf_dir) -> DataFrame:
@@ -115,21 +115,42 @@ def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Release gates as rows: value, limit, and whether it's met."""
-    q = annotation_quality(spark, sf_dir).agg(
-        F.coalesce(F.sum(F.when(F.col("split") == "held_out", F.col("total") - F.col("uncertain"))), F.lit(0)).cast("double").alias("held_out_cases"),
-        F.round(F.coalesce(F.try_divide(F.sum("uncertain"), F.sum("total")), F.lit(0.0)), 6).alias("uncertain_rate"),
-    )
-    share = max_share(spark, sf_dir).agg(F.coalesce(F.max(F.when(F.col("kind") == "product_family", F.col("share"))), F.lit(0.0)).alias("product_share"))
-    leak = family_leakage(spark, sf_dir).agg(F.count("*").cast("double").alias("leaks"))
-    one = q.join(share).join(leak)  # one row each
-    rows = F.array(
-        F.struct(F.lit("held_out_cases").alias("gate"), F.col("held_out_cases").alias("value"), F.lit(float(LEAST_CASES)).alias("bound"), (F.col("held_out_cases") >= LEAST_CASES).alias("met")),
-        F.struct(F.lit("uncertain_rate").alias("gate"), F.col("uncertain_rate").alias("value"), F.lit(MOST_UNCERTAIN).alias("bound"), (F.col("uncertain_rate") <= MOST_UNCERTAIN).alias("met")),
-        F.struct(F.lit("product_share").alias("gate"), F.col("product_share").alias("value"), F.lit(MOST_SHARE).alias("bound"), (F.col("product_share") <= MOST_SHARE).alias("met")),
-        F.struct(F.lit("family_leaks").alias("gate"), F.col("leaks").alias("value"), F.lit(0.0).alias("bound"), (F.col("leaks") <= 0).alias("met")),
-    )
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    """Release gates as rows: value, bound, and whether it's met; each value is one aggregate."""
+    from .annotation import frozen_cases
+
+    c, n = _cases(spark, sf_dir), lambda: F.count("*").cast("double")
+    src = table(spark, sf_dir, "benchmark_source").select("source_id", "source_name", "approval", "approval_reference", "source_content_sha256").distinct()
+    split = _splits(spark, sf_dir).select("source_id", "split").distinct()
+    own = c.join(split, "source_id", "left")
+    unsure = F.coalesce("annotation_uncertain", F.lit(False))
+    reported = table(spark, sf_dir, "dataset_split_report").select("version").distinct()
+    strata = c.where("stratum is not null").groupBy("stratum").agg(F.count_if(~unsure).cast("double").alias("certain"), F.avg(unsure.cast("double")).alias("rate"))
+    dev = own.where(f"split = 'development' and stratum in {LABELS}")
+    share = max_share(spark, sf_dir)
+    most = lambda kind: share.agg(F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("share"))), F.lit(0.0)))
+    gates = [
+        ("cases_without_version", c.where("version is null").agg(n()), "max", 0.0),
+        ("versions_without_report", c.select("version").distinct().join(reported, "version", "left_anti").agg(n()), "max", 0.0),
+        ("sources_of_two_splits", split.groupBy("source_id").agg(F.count("*").alias("k")).where("k > 1").agg(n()), "max", 0.0),
+        ("unregistered_sources", c.select("source_id").distinct().join(src, "source_id", "left_anti").agg(n()), "max", 0.0),
+        ("ambiguous_sources", src.groupBy("source_id").agg(F.count("*").alias("k")).where("k > 1").agg(n()), "max", 0.0),
+        ("ambiguous_cases", c.groupBy("case_id").agg(F.count("*").alias("k")).where("k > 1").agg(n()), "max", 0.0),
+        ("invalid_cases", frozen_cases(spark, sf_dir).where("status <> 'valid'").agg(n()), "max", 0.0),
+        ("missing_strata", dev.agg((F.lit(len(LABELS)) - F.count_distinct("stratum")).cast("double")), "max", 0.0),
+        ("held_out_cases", own.where("split = 'held_out'").agg(F.count_if(~unsure).cast("double")), "min", float(LEAST_CASES)),
+        ("cases_of_a_stratum", strata.agg(F.coalesce(F.min("certain"), F.lit(0.0))), "min", float(LEAST_STRATUM)),
+        ("uncertain_rate", c.agg(F.round(F.coalesce(F.avg(unsure.cast("double")), F.lit(0.0)), 6)), "max", MOST_UNCERTAIN),
+        ("uncertain_rate_of_a_stratum", strata.agg(F.round(F.coalesce(F.max("rate"), F.lit(0.0)), 6)), "max", MOST_OF_STRATUM),
+        ("insurer_share", most("insurer_family"), "max", MOST_SHARE),
+        ("product_share", most("product_family"), "max", MOST_SHARE),
+        ("family_leaks", family_leakage(spark, sf_dir).agg(n()), "max", 0.0),
+    ]
+    out = None
+    for name, value, way, bound in gates:
+        v = value.toDF("value")
+        one = v.select(F.lit(name).alias("gate"), "value", F.lit(bound).alias("bound"), ((F.col("value") >= bound) if way == "min" else (F.col("value") <= bound)).alias("met"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,10 +197,35 @@ SQL = {
     "report_comparison": f"""with {_QUAL}, r as (select distinct * from dataset_split_report)
         select version, split, array_to_string(list_filter([case when total is distinct from total_cases then 'total' end, case when disagreements is distinct from initial_disagreements then 'disagreements' end, case when uncertain is distinct from uncertain_exclusions then 'uncertain' end], lambda x: x is not null), ',') differs
         from aq full join r using (version, split)""",
-    "gate_battery": f"""with {_LEAK}, {_SHARE}, {_QUAL}, m as (select coalesce(sum(case when split = 'held_out' then total - uncertain end), 0)::double h, round(coalesce(sum(uncertain) / nullif(sum(total), 0), 0), 6) u from aq),
-        p as (select coalesce(max(share) filter (kind = 'product_family'), 0.0) s from ms), l as (select count(*)::double c from lk)
-        select 'held_out_cases' gate, h "value", {LEAST_CASES}::double bound, h >= {LEAST_CASES} met from m union all select 'uncertain_rate', u, {MOST_UNCERTAIN}, u <= {MOST_UNCERTAIN} from m
-        union all select 'product_share', s, {MOST_SHARE}, s <= {MOST_SHARE} from p union all select 'family_leaks', c, 0.0, c <= 0 from l""",
+    "gate_battery": None,
     "case_ids": "select distinct case_id, 'case-' || substring(sha256(concat_ws(chr(10), source_id, coalesce(question, ''))), 1, 16) content_id from silver_case",
     "manifest_hashes": "select version, count(*) cases, sha256(string_agg(sha256(concat_ws(chr(10), case_id, source_id, coalesce(question, ''))), chr(10) order by case_id)) sha256 from (select distinct * from silver_case) group by 1",
 }
+
+
+def _gates_sql() -> str:
+    from .annotation import SQL as annotation
+
+    gates = {
+        "cases_without_version": ("select count(*) from cs where version is null", "<=", 0),
+        "versions_without_report": ("select count(distinct coalesce(version, '-')) from cs where version is null or version not in (select version from dataset_split_report)", "<=", 0),
+        "sources_of_two_splits": ("select count(*) from (select source_id from s2 group by 1 having count(*) > 1)", "<=", 0),
+        "unregistered_sources": ("select count(distinct coalesce(source_id, '-')) from cs where source_id is null or source_id not in (select source_id from benchmark_source where source_id is not null)", "<=", 0),
+        "ambiguous_sources": ("select count(*) from (select source_id from (select distinct source_id, source_name, approval, approval_reference, source_content_sha256 from benchmark_source) group by 1 having count(*) > 1)", "<=", 0),
+        "ambiguous_cases": ("select count(*) from (select case_id from cs group by 1 having count(*) > 1)", "<=", 0),
+        "invalid_cases": (f"select count(*) from ({annotation['frozen_cases']}) where status <> 'valid'", "<=", 0),
+        "missing_strata": (f"select {len(LABELS)} - count(distinct stratum) from cs join s2 using (source_id) where split = 'development' and stratum in {LABELS}", "<=", 0),
+        "held_out_cases": ("select count_if(not coalesce(annotation_uncertain, false)) from cs join s2 using (source_id) where split = 'held_out'", ">=", LEAST_CASES),
+        "cases_of_a_stratum": ("select coalesce(min(k), 0) from st", ">=", LEAST_STRATUM),
+        "uncertain_rate": ("select round(coalesce(avg(coalesce(annotation_uncertain, false)::int), 0), 6) from cs", "<=", MOST_UNCERTAIN),
+        "uncertain_rate_of_a_stratum": ("select round(coalesce(max(r), 0), 6) from st", "<=", MOST_OF_STRATUM),
+        "insurer_share": ("select coalesce(max(share) filter (kind = 'insurer_family'), 0) from ms", "<=", MOST_SHARE),
+        "product_share": ("select coalesce(max(share) filter (kind = 'product_family'), 0) from ms", "<=", MOST_SHARE),
+        "family_leaks": ("select count(*) from lk", "<=", 0),
+    }
+    st = "st as (select stratum, count_if(not coalesce(annotation_uncertain, false)) k, avg(coalesce(annotation_uncertain, false)::int) r from cs where stratum is not null group by 1)"
+    rows = " union all ".join(f"select '{g}' gate, ({v})::double \"value\", {b}::double bound, ({v})::double {op} {b}::double met" for g, (v, op, b) in gates.items())
+    return f"with {_LEAK}, {_SHARE}, cs as (select distinct * from silver_case), {st} {rows}"
+
+
+SQL["gate_battery"] = _gates_sql()

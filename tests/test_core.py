@@ -308,3 +308,88 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.method, r.pages, r.garbled) for r in spark.table("arrivals").collect()} == {("text", 1, 0), ("ocr", 1, 1), ("none", 1, 0)}
+
+
+def subsets(sizes):
+    names = sorted(n for n, k in sizes if k > 0)
+    size = dict(sizes)
+    for mask in range(1, 2 ** len(names)):
+        yield mask, {n for i, n in enumerate(names) if mask >> i & 1}, sum(size[n] for i, n in enumerate(names) if mask >> i & 1)
+
+
+def test_subset_against_brute_force():
+    assert govern.select_subset([("a", 10), ("b", 10)], 3) == {"a"} and govern.select_subset([("a", 10)], 8) == set()
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = [(f"n{i}", rng.randrange(0, 9)) for i in range(rng.randrange(1, 9))]
+        total, target = sum(k for _, k in sizes), rng.randrange(0, 40)
+        inner = [(abs(t - target), t, mask, names) for mask, names, t in subsets(sizes) if 0 < t < total]
+        assert govern.select_subset(sizes, target) == (min(inner)[3] if inner else set()), (sizes, target)
+
+
+def test_clauses_of_late_pages(spark):
+    rows = [("s", 2_000_000_000, "第一条 观察期限\n三十日。", None), ("s", 2_000_000_001, "续前页的内容。", None)]
+    df = spark.createDataFrame(rows, "source_id string, page_number int, text string, quality_notes array<string>")
+    assert {(r.clause_page, r.page_number) for r in segment.clause_units(df).collect()} == {(2_000_000_000, 2_000_000_000), (2_000_000_000, 2_000_000_001)}
+
+
+def test_units_of_long_pages_keep_apart(spark, tmp_path):
+    from pageloom.plans import spans as plan
+
+    pq.write_table(pa.table({"page_id": pa.array([1, 2], pa.int64()), "source_id": ["s", "s"], "page_number": pa.array([1, 2], pa.int32()), "text": ["x" * 100_700, "y"]}), tmp_path / "document_page.parquet")
+    units = plan._units(spark, str(tmp_path)).collect()
+    assert len(units) == len({tuple(u.doc_id) for u in units}) == 169 and all(u.doc_id.page_id == u.page_id for u in units)
+
+
+def test_copies_of_pages_are_left_out(spark, tmp_path):
+    from pageloom.sources.tables import pages
+
+    ids = [1, 2, 2, 3, 3, 3, None, None]
+    t = pa.table({"page_id": pa.array(ids, pa.int64()), "source_id": ["s"] * 8, "page_number": pa.array([1] * 8, pa.int32()), "text": [f"t{i}" for i in ids]})
+    pq.write_table(t, tmp_path / "document_page.parquet")
+    assert sorted((r.page_id or 0, r.text) for r in pages(spark, str(tmp_path), "text").collect()) == [(0, "tNone"), (1, "t1"), (2, "t2"), (3, "t3")]
+
+
+def test_small_functions(spark):
+    for t, n in [("十", 10), ("二十", 20), ("二十五", 25), ("十五", 15), ("二零", 20), ("35", 35), ("一百", None), ("x", None), ("", None), (None, None)]:
+        assert one(spark, t, T.small_number) == n, t
+    assert one(spark, "观察期与等待期", lambda c: T.replaced(c, {"等待期": "观察期"})) == "观察期与观察期"
+    assert one(spark, "给付三十日，可能例外，但不确定", lambda c: T.before_any(c, ["但", "可能"])) == "给付三十日，" and one(spark, "ab", lambda c: T.before_any(c, ["x"])) == "ab"
+    assert one(spark, "a。b。if c", lambda c: T.occurrences(c, ["。", "if "])) == 3
+    r = spark.range(1).select(*[T.ratio(F.lit(a), F.lit(b)).alias(n) for n, a, b in (("x", 1.0, 2.0), ("y", 0.0, 0.0), ("z", 3.0, 0.0))]).first()
+    assert (r.x, r.y) == (0.5, 0.0) and math.isinf(r.z)
+    h = spark.createDataFrame([("1. Riders\nWe pay.", "1. Riders"), ("1. Riders", "1. Riders"), ("x\ny", None)], "t string, h string")
+    assert [x.b for x in h.select(segment.without_heading(F.col("t"), F.col("h")).alias("b")).collect()] == ["We pay.", "1. Riders", "x\ny"]
+
+
+def test_page_titles(spark):
+    rows = [("s", 1, "x\n第一条 观察期限\n第二条 除外事项"), ("s", 2, "nothing"), ("s", 3, "Definitions"), ("t", 1, "nothing"), ("s", 300, "\n" * 90 + "第三条 病种释义"), ("s", 301, "\n".join(["y"] * 80) + "\n第三条 红利分配")]
+    df = spark.createDataFrame(rows, "source_id string, page_number int, text string")
+    got = {(r.source_id, r.page_number): (r.title, r.confidence) for r in segment.page_titles(df).collect()}
+    assert got == {("s", 1): ("观察期限", "high"), ("s", 2): ("观察期限", "low"), ("s", 3): ("Definitions", "medium"), ("t", 1): (None, "low"), ("s", 300): ("病种释义", "high"), ("s", 301): ("病种释义", "low")}
+
+
+def reranked(spark, question, title, text, confidence="high"):
+    df = spark.createDataFrame([(question, title, text, confidence)], "q string, ti string, te string, c string")
+    terms = rewrite.rerank_terms(F.col("q"), F.col("ti"), F.col("te"), F.col("c"))
+    r = df.select(rewrite.rerank_score(terms).alias("s"), rewrite.rerank_reasons(terms).alias("r")).first()
+    return r.s, r.r
+
+
+def test_rerank_terms(spark):
+    assert reranked(spark, "除外有哪些", "除外事项", "本公司不承担给付责任") == (2.0 + 1.5 + 0.5, ["title_intent", "excluding", "exact_term"])
+    assert reranked(spark, "除外有哪些", "保障范围", "x") == (-1.5, ["wrong_title"])
+    assert reranked(spark, "什么是观察期", "名词解释", "x", "low") == (2.0 - 1.5 - 0.5, ["title_intent", "definition_title", "low_confidence"])
+    assert reranked(spark, "the policyholder", None, "the policyholder and the beneficiary of 30", "high") == (1.0 - 2.0, ["same_person", "other_person"])
+    assert reranked(spark, "within 30 days", "", "第一条 30") == (0.25 + 0.25, ["number", "clause_heading"])
+    assert reranked(spark, "x", None, None, "high") == (0.0, [])
+
+
+def test_cosine_by_blocks_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "unit_id long, vector array<double>").cache()
+    q = df.where("unit_id % 3 = 0").select(F.col("unit_id").alias("query_id"), "vector")
+    sent = sorted(map(tuple, vector.cosine_topk(q, df, 3).collect()))
+    monkeypatch.setattr(vector, "SENT_BYTES", 0)
+    monkeypatch.setattr(vector, "BLOCK", 6)
+    assert sorted(map(tuple, vector.cosine_topk(q, df, 3).collect())) == sent and len(sent) == 60

@@ -50,5 +50,18 @@ def test_entry(spark):
 
 def test_search_reads_what_it_needs(spark):
     plan = retrieval.bm25_corpus_stats(spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<page_id:bigint,source_id:string,page_number:int,text:string>" in plan or "ReadSchema: struct<page_id:bigint,text:string>" in plan
+    assert "ReadSchema: struct<page_id:bigint,text:string>" in plan or "ReadSchema: struct<text:string>" in plan
     assert "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["page_quality", "page_normalize", "number_facts", "legacy_units"])
+def test_texts_stay_where_they_are_read(spark, monkeypatch, name):
+    from pageloom.sources import tables
+
+    monkeypatch.setattr(tables, "spread", lambda df: df)  # as on input of more row groups than cores
+    df = registry.QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # what is grouped or shuffled holds no text: copies are found by ids, and left out by a broadcast join
+    assert not [x for x in plan.split("\n") if "Aggregate" in x and "first(text" in x] and "LeftAnti" in plan
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in physical.split("\n") if "SortMergeJoin" in x and "_file" in x]
