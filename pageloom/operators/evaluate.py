@@ -65,3 +65,9 @@ def judged(hits: DataFrame, units: DataFrame, cases: DataFrame, depth: int = 3)
 def summary(results: DataFrame) -> DataFrame:
     """One row: cases, passes, and those with the expected unit first and among the first three."""
     return results.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(F.coalesce(F.col("expected_rank") <= 1, F.lit(False))).alias("top1"), F.count_if(F.coalesce(F.col("expected_rank") <= 3, F.lit(False))).alias("top3"))
+
+
+def one_strategy(units: DataFrame, expected: str) -> DataFrame:
+    """One row (units, strategies, compatible): whether all units come from the one strategy that the index was made with."""
+    n = units.agg(F.count("*").alias("units"), F.count_distinct(F.coalesce("strategy", F.lit(""))).alias("strategies"), F.count_if(F.coalesce("strategy", F.lit("")) == expected).alias("same"))
+    return n.select("units", "strategies", (F.col("same") == F.col("units")).alias("compatible"))

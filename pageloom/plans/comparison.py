@@ -17,13 +17,10 @@ CHECKS = [("mean_value", "mean_value", "min", 49.0), ("p95_value", "p95_value",
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of the events' values by type.
 
-    Ranks are counted on (type, value) groups, so no type's values are gathered in one row.
+    Ranks are counted on (type, value) groups, in ranges of about equal size, so no type's values come together in one row or task.
     """
-    from pyspark.sql import Window
-
     v = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("event_type").orderBy("value"))
-    r = v.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy("event_type")))
+    r = compare.running_counts(v, "event_type", "value", "n")
     at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * p / 100), F.col("value"))).alias(f"p{p}")
     return r.groupBy("event_type").agg(at(50), at(90), at(95), at(99))
 

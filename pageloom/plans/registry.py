@@ -27,9 +27,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import annotation, comparison, governance, pages, retrieval, segmentation, spans, verification
+    from . import annotation, comparison, governance, pages, retrieval, segmentation, selection, spans, verification
 
-    return collect(pages, segmentation, retrieval, spans, governance, comparison, verification, annotation)
+    return collect(pages, segmentation, retrieval, spans, governance, comparison, verification, annotation, selection)
 
 
 QUERIES, SQL = _all()

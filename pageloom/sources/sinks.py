@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import subprocess
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -80,3 +81,13 @@ def markdown(rows: DataFrame, order: str, columns: list[str], title: str) -> str
     cell = lambda x: "n/a" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|")
     lines += ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows.orderBy(order).select(*columns).toLocalIterator()]
     return "\n".join(lines) + "\n"
+
+
+def unversioned(path: str | os.PathLike) -> Path:
+    """`path` as an absolute path, if no repository would take up what is written there: it's ignored, or in none; else an error."""
+    path = Path(path).absolute()
+    folder = next(p for p in (path, *path.parents) if p.is_dir())
+    inside = subprocess.run(["git", "-C", str(folder), "rev-parse", "--is-inside-work-tree"], capture_output=True, text=True)
+    if inside.returncode == 0 and inside.stdout.strip() == "true" and subprocess.run(["git", "-C", str(folder), "check-ignore", "-q", str(path)]).returncode:
+        raise ValueError(f"{path} would be taken into the repository")
+    return path

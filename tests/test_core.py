@@ -393,3 +393,54 @@ def test_cosine_by_blocks_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(vector, "SENT_BYTES", 0)
     monkeypatch.setattr(vector, "BLOCK", 6)
     assert sorted(map(tuple, vector.cosine_topk(q, df, 3).collect())) == sent and len(sent) == 60
+
+
+def test_running_counts(spark):
+    rng = random.Random(4)
+    rows = [("hot", v, rng.randrange(1, 4)) for v in range(3000)] + [("x", 1, 2)]
+    got = {(r.k, r.v): (r.upto, r.total) for r in compare.running_counts(spark.createDataFrame(rows, "k string, v long, n long"), "k", "v", "n").collect()}
+    total = sum(n for k, _, n in rows if k == "hot")
+    upto, run = {}, 0
+    for k, v, n in rows[:-1]:
+        run += n
+        upto[k, v] = (run, total)
+    assert got == upto | {("x", 1): (2, 2)}
+
+
+def test_strategy_checks(spark):
+    cases = [(s, i, 1.0 if s == "b" or i % 2 else 0.0, 1.0 if s == "b" else float(i % 2), i < 4, i > 6, float(s == "a" and i > 6), 0.5 if s == "a" else 0.1) for s in ("a", "b") for i in range(10)]
+    c = spark.createDataFrame(cases, "strategy string, case_id long, cov_3 double, cov_budget double, boundary boolean, hard boolean, confusion double, irrelevant double")
+    t = spark.createDataFrame([("a", 100, 10, 1.0, True), ("b", 114, 13, 2.0, True)], "strategy string, tokens long, units long, latency double, invariants boolean")
+    got = {r.name: (r.value, r.passed) for r in compare.strategy_checks(c, t, "a", draws=200).collect()}
+    assert len(got) == 10 and [n for n, (_, ok) in got.items() if not ok] == ["unit_ratio"]
+    assert got["boundary_gain"][0] == 0.5 and got["confusion_high"][0] == -1.0 and got["irrelevant_high"][0] == -0.4 and got["token_ratio"][0] == 1.14
+    none = {r.name: r.passed for r in compare.strategy_checks(c.withColumn("boundary", F.lit(False)), t, "a", draws=50).collect()}
+    assert not none["boundary_gain"] and not none["boundary_low"]
+    assert compare.selected(c, t, compare.strategy_checks(c, t, "a", draws=50)).collect()[0].asDict() == {"strategy": "b", "eligible": False}
+
+
+def test_one_strategy(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "strategy string")
+    assert evaluate.one_strategy(df, "a").first().asDict() == {"units": 3, "strategies": 2, "compatible": False}
+    assert evaluate.one_strategy(df.limit(2), "a").first().compatible and evaluate.one_strategy(df.limit(0), "a").first().compatible
+
+
+def test_term_facts(spark):
+    from pageloom.operators import claims
+
+    facts = lambda t: one(spark, t, lambda c: claims.term_facts(c, aliases={"waiting period": "观察期"}))
+    assert facts("观察期为30日，宽限期为60天。观察期为90日") == ["观察期=30天", "宽限期=60天", "观察期=90天"]
+    assert facts("观察期和宽限期均为30日") == ["观察期=30天", "宽限期=30天"] and facts("观察期和宽限期为30日") == ["宽限期=30天"]
+    assert facts("观察期与30日") == [] and facts("30日观察期") == [] and facts("观察期。30日") == [] and facts("") == []
+    assert facts("the waiting period is 1,080 days") == ["观察期=1080days"]
+
+
+def test_output_outside_repositories(tmp_path):
+    import subprocess
+
+    assert sinks.unversioned(tmp_path / "a" / "b") == tmp_path / "a" / "b"
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / ".gitignore").write_text("out/\n")
+    assert sinks.unversioned(tmp_path / "out" / "x") == tmp_path / "out" / "x"
+    with pytest.raises(ValueError):
+        sinks.unversioned(tmp_path / "kept" / "x")
