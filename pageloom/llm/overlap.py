@@ -43,8 +43,10 @@ WINDOW, GRAM, PREFIX, LETTERS = 16, 8, 32, 32
 SHORT, SMALL = 120, 5
 #: Suffixes of a side in a block of a large group; suffix pairs looked at together; classes in a block of the exact comparison; pairs looked at together.
 BLOCK, MEET, CLASSES, PAIRS = 4096, 1 << 20, 8192, 64
-#: Candidates share at least this share of the anchors of the record with more; bits of the table that anchors' marks are compared in.
-COVERAGE, BITS = 0.1, 2048
+#: Candidates share at least this share of the anchors of the record with more, and their merged spans cover this share of the longer.
+ANCHORS, COVERAGE = 0.1, 0.08
+#: Bits of the table that anchors' marks are compared in.
+BITS = 2048
 #: Records are alike if at most this share of the longer one's characters differs.
 DIFFER = 0.14
 #: Letters a readable record has at least.
@@ -163,7 +165,7 @@ def shared_spans(prefix, cell, letters, length, size, record, side, at, rest, ga
         enough = np.zeros(len(i), np.int64)
         for w in range(table_.shape[1]):
             enough += np.bitwise_count(table_[i, w] & table_[j, w])
-        keep = enough >= COVERAGE * np.maximum(set_[i], set_[j])
+        keep = enough >= ANCHORS * np.maximum(set_[i], set_[j])
         i, j, longer = i[keep], j[keep], longer[keep]
         span = common_prefix(levels, np.minimum(i, j), np.maximum(i, j))
         out.append((record[i], record[j], np.minimum(span, np.minimum(gap[i], gap[j])), longer))
@@ -229,7 +231,7 @@ def suffix_array(one: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(array: DataFrame) -> DataFrame:
-    """(x, y, share): a class of one side and one of the other that share enough anchors, and the share of the longer that their merged spans cover. Groups are compared whole, whatever the batches."""
+    """(x, y, share): a class of one side and one of the other that share enough anchors and whose merged spans cover enough of the longer, and that share. Groups are compared whole, whatever the batches."""
 
     def links(cols):
         x, y, covered, size = shared_spans(*cols)
@@ -251,7 +253,7 @@ def candidate_pairs(array: DataFrame) -> DataFrame:
 
     spans = array.select("prefix", "cell", "letters", "length", "size", "class", "side", "at", "rest", "gap", "marks").mapInArrow(run, "x bigint, y bigint, covered int, size int")
     total = spans.groupBy("x", "y").agg(F.sum("covered").alias("covered"), F.max("size").alias("size"))
-    return total.select("x", "y", F.round(F.col("covered") / F.col("size"), 6).alias("share"))
+    return total.where(F.col("covered") >= COVERAGE * F.col("size")).select("x", "y", F.round(F.col("covered") / F.col("size"), 6).alias("share"))
 
 
 def body(text: str, name: str | None, drop: list[int] | None) -> str:
