@@ -28,7 +28,7 @@ def crowd(n=48):
     texts = [make(150) + shared + make(160) for _ in range(n)]
     for k in range(8):
         t = list(texts[3 * k])
-        for i in rng.sample(range(len(t)), 4 * k):
+        for i in rng.sample(range(len(t)), k):
             t[i] = "某"
         texts.append("".join(t))
     return [(i, 1 if i < n else 2, t) for i, t in enumerate(texts)]
