@@ -379,7 +379,7 @@ def reranked(spark, question, title, text, confidence="high"):
 def test_rerank_terms(spark):
     assert reranked(spark, "除外有哪些", "除外事项", "本公司不承担给付责任") == (2.0 + 1.5 + 0.5, ["title_intent", "excluding", "exact_term"])
     assert reranked(spark, "除外有哪些", "保障范围", "x") == (-1.5, ["wrong_title"])
-    assert reranked(spark, "什么是观察期", "名词解释", "x", "low") == (2.0 - 1.5 - 0.5, ["title_intent", "definition_title", "low_confidence"])
+    assert reranked(spark, "什么是观察期", "名词解释", "x", "low") == (2.0 - 1.5 + 0.5 - 0.5, ["title_intent", "definition_title", "exact_term", "low_confidence"])
     assert reranked(spark, "the policyholder", None, "the policyholder and the beneficiary of 30", "high") == (1.0 - 2.0, ["same_person", "other_person"])
     assert reranked(spark, "within 30 days", "", "第一条 30") == (0.25 + 0.25, ["number", "clause_heading"])
     assert reranked(spark, "x", None, None, "high") == (0.0, [])
@@ -408,7 +408,7 @@ def test_running_counts(spark):
 
 
 def test_strategy_checks(spark):
-    cases = [(s, i, 1.0 if s == "b" or i % 2 else 0.0, 1.0 if s == "b" else float(i % 2), i < 4, i > 6, float(s == "a" and i > 6), 0.5 if s == "a" else 0.1) for s in ("a", "b") for i in range(10)]
+    cases = [(s, i, 1.0 if s == "b" or i % 2 else 0.0, 1.0 if s == "b" else float(i % 2), i < 8, i > 6, float(s == "a" and i > 6), 0.5 if s == "a" else 0.1) for s in ("a", "b") for i in range(10)]
     c = spark.createDataFrame(cases, "strategy string, case_id long, cov_3 double, cov_budget double, boundary boolean, hard boolean, confusion double, irrelevant double")
     t = spark.createDataFrame([("a", 100, 10, 1.0, True), ("b", 114, 13, 2.0, True)], "strategy string, tokens long, units long, latency double, invariants boolean")
     got = {r.name: (r.value, r.passed) for r in compare.strategy_checks(c, t, "a", draws=200).collect()}

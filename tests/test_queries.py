@@ -48,7 +48,10 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_search_reads_what_it_needs(spark):
+def test_search_reads_what_it_needs(spark, monkeypatch):
+    from pageloom.sources import tables
+
+    monkeypatch.setattr(tables, "spread", lambda df: df)  # as on input of more row groups than cores
     plan = retrieval.bm25_corpus_stats(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,text:string>" in plan or "ReadSchema: struct<text:string>" in plan
     assert "Cartesian" not in plan
