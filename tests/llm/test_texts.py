@@ -113,6 +113,35 @@ def test_near_duplicate_lines_join_their_cluster(spark, make_dir):
     assert all("保险单" not in r.text for r in B.p6_cleaned(spark, d).collect())
 
 
+def test_every_line_alike_to_a_leader_joins_it(spark, make_dir):
+    rng = random.Random(11)
+    make = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    leaders = [make(24 + 7 * k) for k in range(4)]
+    pages = [page(i, "\n".join([*leaders, make(30)]), f"s{i}") for i in range(8)]
+    for i in range(8, 16):  # copies with characters changed, most of them near the threshold
+        lines = []
+        for _ in range(80):
+            c = list(rng.choice(leaders))
+            for j in rng.sample(range(len(c)), rng.randrange(1, 4)):
+                c[j] = "某"
+            lines.append("".join(c))
+        pages.append(page(i, "\n".join(lines), f"s{i}"))
+    d = make_dir(document_page=pages, benchmark_source=[source(f"s{i}", name=None, insurer="A") for i in range(16)])
+    pairs = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    alike = lambda x, y: len(pairs(x) & pairs(y)) >= B.SIMILAR * len(pairs(x) | pairs(y))
+    held = {}
+    for p in pages:
+        for n, x in enumerate(p["text"].split("\n"), 1):
+            held.setdefault(folded(x), []).append((p["source_id"], p["page_id"], n))
+    want = set()
+    for y in held:
+        own = [h for x in held if alike(x, y) for h in held[x]]
+        if len({h[0] for h in held[y]}) >= 2 and len({h[0] for h in own}) >= B.MIN_SHARE * 16:
+            want |= {h[1:] for h in own}
+    assert {(r.page_id, r.line_no) for r in B.repeated_lines(spark, d).collect()} == want
+    assert 300 < len(want) < 8 * 5 + 640
+
+
 def test_furniture():
     for x in ("9", "- 12 -", "第 l4O 页", "第 9 页 共 12 页", "Page 3 of 12", "p. l9", "S. 4", "[ 7 ]", "页码：9", "Page 7 sur 9"):
         assert is_page_number(x), x
