@@ -84,7 +84,7 @@ def _header(line: str, name: str) -> bool:
     if len(line) > TIMES * len(name) + ROOM:
         return False
     whole, pieces = _name(name)
-    if len(whole) < 4 or sum(p in line for p in pieces) * 3 < len(pieces):
+    if len(whole) < 4 or sum([p in line for p in pieces]) * 3 < len(pieces):
         return False
     s = _MARKS.sub("", line)
     if len(s) < len(whole) * 0.6:

@@ -109,8 +109,8 @@ def _glyphs() -> dict[str, np.ndarray]:
     return _tables
 
 
-def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Of each word: row, hash, key; functions from indices to strings (`text`) and to the buckets of the contexts (`ctx`: four columns, -1 for none); and `units`, how often each bucket's unit stands there."""
+def batch_words(texts: list[str | None], units: bool = False) -> dict[str, np.ndarray]:
+    """Of each word: row, hash, key; functions from indices to strings (`text`) and to the buckets of the contexts (`ctx`: four columns, -1 for none); and, with `units`, how often each bucket's unit stands there."""
     t, g = tables(), _glyphs()
     b = Batch(texts)
     cp, row = b.cp, b.row
@@ -167,8 +167,7 @@ def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
     s2 = sums(c2)
     hw = span_hash(s2, centre - 2, centre + 3)
     kw = mixed(span_hash(s2, centre - 2, centre) * np.uint64(3) + span_hash(s2, centre + 1, centre + 3) + g["han"][c2[centre]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    word_unit = np.concatenate([[-1, -1], (k % np.uint64(CONTEXTS)).astype(np.int32), [-1, -1]]).astype(np.int32)
-    rows_of = np.concatenate([[-1, -1], r, [-1, -1]])
+    unit_of = lambda i: (k[i] % np.uint64(CONTEXTS)).astype(np.int32)
     unit = g["unit"]
     m = len(h)
 
@@ -182,19 +181,23 @@ def batch_words(texts: list[str | None]) -> dict[str, np.ndarray]:
     def ctx(index):
         out = np.empty((len(index), 4), np.int32)
         word_ = index < m
-        i, c = index[word_] + 2, centre[index[~word_] - m]
-        out[word_] = np.stack([np.where(rows_of[i + d] == rows_of[i], word_unit[i + d], -1) for d in (-2, -1, 1, 2)], 1)
+        i, c = index[word_], centre[index[~word_] - m]
+        beside = np.stack([i + d for d in (-2, -1, 1, 2)], 1)
+        there = np.clip(beside, 0, max(0, m - 1))
+        out[word_] = np.where((beside == there) & (r[there] == r[i][:, None]), unit_of(there), -1) if len(i) else -1
         out[~word_] = np.stack([unit[c2[c + d]] for d in (-4, -3, 3, 4)], 1)
         return out
 
-    beside = unit[c2[np.concatenate([centre - 3, centre + 3])]]
-    units = np.bincount(word_unit[2 : m + 2], minlength=CONTEXTS) + np.bincount(beside[beside >= 0], minlength=CONTEXTS)
+    every = np.zeros(CONTEXTS, np.int64)
+    if units:
+        beside = unit[c2[np.concatenate([centre - 3, centre + 3])]]
+        every += np.bincount(unit_of(slice(None)), minlength=CONTEXTS) + np.bincount(beside[beside >= 0], minlength=CONTEXTS)
     return {
         "row": np.concatenate([r, r2.astype(np.int64)]),
         "hash": np.concatenate([h, hw]).view(np.int64),
         "key": np.concatenate([k, kw]).view(np.int64),
         "ctx": ctx,
-        "units": units,
+        "units": every,
         "text": text,
     }
 
@@ -256,7 +259,7 @@ def context_counts(pages: DataFrame, wanted: DataFrame, text: str = "text") -> D
     def run(batches):
         every, held = np.zeros(CONTEXTS, np.int64), []
         for _, texts in parts(batches, 0):
-            w = batch_words(texts)
+            w = batch_words(texts, units=True)
             every += w["units"]
             if few and len(sent.value):
                 at = np.searchsorted(sent.value, w["hash"])
@@ -366,7 +369,7 @@ def learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, np.n
 
 
 _HAN = re.compile("[㐀-鿿]")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
+_HYPHEN = re.compile(r"[-‐‑](?<=[^\W\d_].)\s*\n\s*(?=[^\W\d_])")  # the mark first, so that the search runs from mark to mark
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

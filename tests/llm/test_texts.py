@@ -216,6 +216,21 @@ def test_misreadings_at_the_edges_of_a_page(spark, make_dir):
     assert fixed[99] == fixed[1]
 
 
+def test_units_are_counted_where_asked_for_and_cut_words_as_before():
+    texts = ["the insured per-\nson asks self-\n employed\u2010\nstaff -\n- x-\n9 a-b", "pays 30 days\nwell-", None]
+    w = S.batch_words(texts, units=True)
+    assert (w["units"] == np.bincount((w["key"].view(np.uint64) % np.uint64(S.CONTEXTS)).astype(int), minlength=S.CONTEXTS)).all() and w["units"].sum() > 8
+    plain = S.batch_words(texts)
+    assert not plain["units"].any() and all((plain[k] == w[k]).all() for k in ("row", "hash", "key"))
+    everything = np.arange(len(w["hash"]))
+    unit, row = w["key"].view(np.uint64) % np.uint64(S.CONTEXTS), w["row"]
+    want = [[int(unit[i + d]) if 0 <= i + d < len(row) and row[i + d] == row[i] else -1 for d in (-2, -1, 1, 2)] for i in everything]
+    assert plain["ctx"](everything).tolist() == want
+    old = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
+    assert all([m.span() for m in old.finditer(t)] == [m.span() for m in S._HYPHEN.finditer(t)] for t in texts if t)
+    assert S.words_cut(texts[0]) == {("per", "son"), ("self", "employed"), ("employed", "staff")}
+
+
 def test_reading_levels(spark, make_dir):
     plain = ["You can stop. Tell us first. We pay you. Sign the form." for _ in range(20)]
     mid = ["We pay the daily benefit when treatment has been confirmed by a hospital within the period shown in the table." for _ in range(20)]
