@@ -6,9 +6,9 @@ suffix array: suffixes start at anchors chosen by their content (local minima of
 a rolling hash, and the first character), so that equal spans have equal anchors
 wherever they stand; short texts have one at every character. The array is
 partitioned by the hash of the suffixes' first PREFIX characters and, in a
-partition, ordered by prefix and by the letters that follow, so that suffixes
-with a common prefix are neighbours and the common prefix of any two is the
-least one between them. Suffixes of different splits with a common prefix are a
+partition, ordered by prefix and by the letters that follow up to the next
+anchor, so that suffixes with a common prefix are neighbours and the common
+prefix of any two is the least one between them. Suffixes of different splits with a common prefix are a
 shared span, from the anchor to the end of the common prefix or to the next
 anchor. A suffix brings the marks of all anchors of its record along, so that a
 pair of records is known at once to have enough in common or is dropped before
@@ -56,7 +56,7 @@ _LOST = re.compile("(?:锟斤拷?|斤拷|锟|�)+[锟斤拷�]*")
 
 
 def anchors(texts: list[str | None], order: bool = True) -> dict[str, np.ndarray]:
-    """Of each anchor: row, hash of its prefix, place from the row's start, characters to its end, to the next anchor, and of its prefix; and, for the `order` of the array, `letters`, those after the prefix, as strings of LETTERS characters."""
+    """Of each anchor: row, hash of its prefix, place from the row's start, characters to its end, to the next anchor, and of its prefix; and, for the `order` of the array, `letters`, those after the prefix and before the next anchor, as strings of at most LETTERS characters."""
     b = Batch(texts)
     t = tables()
     space = t["space"][b.cp]
@@ -88,26 +88,44 @@ def anchors(texts: list[str | None], order: bool = True) -> dict[str, np.ndarray
     out = {"row": r.astype(np.int64), "prefix": span_hash(s, start, start + length).view(np.int64), "at": start - np.searchsorted(row, r), "rest": stop - start, "gap": gap, "length": length}
     if not order:
         return out
-    # the letters after the prefix; beyond the row's end blanks, which no body holds
+    # the letters after the prefix; from the next anchor on, where every span ends, nothing
     where = (start + length)[:, None] + np.arange(LETTERS)
-    after = np.where(where < stop[:, None], cp[np.minimum(where, n - 1)], np.uint32(32)).astype(np.uint32)
+    after = np.where(where < (start + gap)[:, None], cp[np.minimum(where, n - 1)], np.uint32(0)).astype(np.uint32)
     return out | {"letters": np.ascontiguousarray(after).view(f"U{LETTERS}").ravel()}
 
 
 def anchor_marks(row: np.ndarray, prefix: np.ndarray, rows: int) -> list[bytes]:
-    """Of each row the marks of its anchors, two bytes each."""
-    order = np.argsort(row, kind="stable")
-    mark = ((prefix.view(np.uint64) >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)[order]
-    cuts = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
-    return [np.unique(mark[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+    """Of each row the marks of its anchors, numbers below BITS: their steps upwards, a byte each (255: so much, and the next byte), or, where that isn't shorter, a table of BITS bits."""
+    held = np.unique(row * BITS + (prefix.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS)
+    own, mark = held // BITS, held % BITS
+    step = np.where(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)], mark, np.diff(mark, prepend=0))
+    end = np.cumsum(step // 255 + 1)
+    flat = np.full(end[-1] if len(end) else 0, 255, np.uint8)
+    flat[end - 1] = step % 255
+    first = np.searchsorted(own, np.arange(rows + 1))
+    cuts = np.concatenate([[0], end])[first].tolist()
+    out = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+    for i in np.flatnonzero(np.diff(cuts) >= BITS // 8).tolist():
+        bits = np.zeros(BITS, bool)
+        bits[mark[first[i] : first[i + 1]]] = True
+        out[i] = np.packbits(bits).tobytes()
+    return out
 
 
 def mark_table(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of BITS bits, in words, of each record's marks, and the number of bits set."""
-    flat = np.frombuffer(b"".join(marks), np.uint16).astype(np.int64) % BITS
+    """A row of BITS bits, in words, of each record's marks (`anchor_marks`), and the number of bits set."""
+    whole = np.array([len(m) == BITS // 8 for m in marks], bool)
+    size = np.array([0 if w else len(m) for m, w in zip(marks, whole)], np.int64)
+    flat = np.frombuffer(b"".join(m for m, w in zip(marks, whole) if not w), np.uint8)
+    upto, row = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)]), np.repeat(np.arange(len(marks)), size)
+    last = flat < 255
     bits = np.zeros((len(marks), BITS), bool)
-    bits[np.repeat(np.arange(len(marks)), [len(m) // 2 for m in marks]), flat] = True
-    return np.packbits(bits, 1).view(np.uint64), bits.sum(1)
+    bits[row[last], (upto[1:] - upto[np.cumsum(size) - size][row])[last]] = True
+    table_ = np.packbits(bits, 1)
+    if whole.any():
+        table_[whole] = np.frombuffer(b"".join(m for m, w in zip(marks, whole) if w), np.uint8).reshape(-1, BITS // 8)
+    table_ = table_.view(np.uint64)
+    return table_, np.bitwise_count(table_).sum(1, dtype=np.int64)
 
 
 def most_edits(size):
@@ -333,10 +351,11 @@ def near(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarr
 
 
 def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """Those of class pairs (x, y) whose bodies are alike; `one` holds (class, body). Bodies meet in blocks, so that each travels once a block and not once a pair."""
+    """Those of class pairs (x, y) whose bodies are alike; `one` holds (class, body). Bodies meet in blocks, so that each travels once a block and not once a pair, and those of no pair stay where they are read."""
     blocks = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct().count() // CLASSES + 1
     met = pairs.withColumn("cell", F.expr(f"pmod(x, {blocks}) * {blocks} + pmod(y, {blocks})"))
-    held = met.select(F.col("cell").alias("block"), F.explode(F.array("x", "y")).alias("class")).distinct().join(one.select("class", "body"), "class").select("block", "class", "body")
+    wanted = met.select(F.col("cell").alias("block"), F.explode(F.array("x", "y")).alias("class")).distinct()
+    held = one.select("class", "body").join(sent_if_small(wanted), "class").select("block", "class", "body")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         text = dict(zip(right["class"].to_pylist(), right["body"].to_pylist()))

@@ -91,3 +91,29 @@ def test_short_alike_texts_share_an_anchor():
         x = O.anchors([a, b])
         one, two = ({*zip(x["prefix"][x["row"] == r], x["at"][x["row"] == r])} for r in (0, 1))
         assert O.alike(a, b) and one & two, n
+
+
+def test_suffixes_bring_along_no_more_than_their_spans_need():
+    rng = random.Random(6)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (60, 400, 20_000)]
+    a = O.anchors(texts)
+    cut = [texts[r][i + k : i + max(k, g)][: O.LETTERS] for r, i, k, g in zip(*(a[c].tolist() for c in ("row", "at", "length", "gap")))]
+    assert a["letters"].tolist() == cut and "" in cut and max(map(len, cut)) == O.LETTERS
+    # marks of a long text take no more than their table
+    marks = O.anchor_marks(a["row"], a["prefix"], 4)
+    assert [len(m) <= O.BITS // 8 for m in marks] == [True] * 4 and len(marks[2]) == O.BITS // 8 > len(marks[1]) > 0 == len(marks[3])
+    table, n = O.mark_table(marks)
+    want = [{(h % (1 << 64) >> 20) % O.BITS for h in a["prefix"][a["row"] == r].tolist()} for r in range(4)]
+    assert [set(np.flatnonzero(x).tolist()) for x in np.unpackbits(table.view(np.uint8), axis=1)] == want and n.tolist() == [*map(len, want)]
+
+
+def test_bodies_of_no_pair_are_not_shuffled(spark):
+    one = spark.createDataFrame(crowd(), "class long, sides int, body string")
+    pairs = spark.createDataFrame([(0, 48)], "x long, y long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = O._verified(pairs, one)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and rows(df) == {(0, 48)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
