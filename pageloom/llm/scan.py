@@ -63,6 +63,8 @@ FITTED = 512
 HELD = 400_000
 #: What stands in a window for what lies beyond a page's end.
 EDGE = 0x2E3A
+#: Bits of a character's kind: stands in words, digit, letter read for a digit, sign of a wrong encoding, such a sign or hanzi, space, hanzi with look-alikes, Latin letter.
+TOKEN, DIGIT, SMALL, ODD, STRANGE, SPACE, LOOKS, LATIN = (1 << i for i in range(8))
 
 
 def _classes() -> dict[str, str]:
@@ -105,64 +107,78 @@ def _glyphs() -> dict[str, np.ndarray]:
         shown = np.where(han > 0, han, np.arange(0x10000, dtype=np.uint32))
         unit = (mixed(t["mix"][shown]) % np.uint64(CONTEXTS)).astype(np.int32)
         unit[EDGE] = -1
-        _tables.update(unit=unit, odd=odd, latin=latin, token=latin | t["digit"] & (np.arange(0x10000) < 128), rep=rep, han=han, digit_letter=letters)
+        token = latin | t["digit"] & (np.arange(0x10000) < 128)
+        kinds = ((TOKEN, token), (DIGIT, t["digit"]), (SMALL, letters), (ODD, odd), (STRANGE, odd | t["han"]), (SPACE, t["space"]), (LOOKS, han > 0), (LATIN, latin))
+        _tables.update(unit=unit, rep=rep, han=han, kind=sum(np.where(there, bit, 0) for bit, there in kinds).astype(np.uint8))
     return _tables
 
 
+def _counts(there: np.ndarray) -> np.ndarray:
+    """How often it's true before each place, and in all."""
+    out = np.zeros(len(there) + 1, np.int32)
+    np.cumsum(there, out=out[1:])
+    return out
+
+
 def batch_words(texts: list[str | None], units: bool = False) -> dict[str, np.ndarray]:
     """Of each word: row, hash, key; functions from indices to strings (`text`) and to the buckets of the contexts (`ctx`: four columns, -1 for none); and, with `units`, how often each bucket's unit stands there."""
-    t, g = tables(), _glyphs()
+    g = _glyphs()
     b = Batch(texts)
     cp, row = b.cp, b.row
     n = len(cp)
     if n < 8:
         return {"row": np.empty(0, np.int64), "hash": np.empty(0, np.int64), "key": np.empty(0, np.int64), "ctx": lambda i: np.empty((len(i), 4), np.int32), "text": lambda i: [], "units": np.zeros(CONTEXTS, np.int64)}
     # words cut at a line end are whole
-    cut = np.zeros(n, bool)
-    i = np.flatnonzero((cp[1:-2] == 45) & (cp[2:-1] == 10) & g["latin"][cp[:-3]] & g["latin"][cp[3:]] & (row[:-3] == row[3:])) + 1
-    cut[i] = cut[i + 1] = True
-    cp, row = cp[~cut], row[~cut]
-    tok = g["token"][cp]
+    kind = g["kind"][cp]
+    i = np.flatnonzero(cp[1:-2] == 45) + 1
+    i = i[(cp[i + 1] == 10) & (kind[i - 1] & kind[i + 2] & LATIN > 0) & (row[i - 1] == row[i + 2])]
+    if len(i):
+        whole = np.ones(n, bool)
+        whole[i] = whole[i + 1] = False
+        cp, row, kind = cp[whole], row[whole], kind[whole]
+    tok = kind & TOKEN
     edge = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (row[1:] != row[:-1])]))
     stop = np.append(edge[1:], len(cp))
-    keep = tok[edge]
+    keep = tok[edge] > 0
     start, stop = edge[keep], stop[keep]
-    letters_only = np.add.reduceat(t["digit"][cp].astype(np.int32), start) == 0 if len(start) else start > 0
-    strange = g["odd"][cp] | t["han"][cp]
+    c_digit = _counts(kind & DIGIT > 0)
+    letters_only = c_digit[np.append(start[1:], len(cp))[: len(start)]] == c_digit[start]
     bad = np.zeros(len(start), bool)
     for side, there in ((start - 1, start > 0), (stop, stop < len(cp))):
-        c = cp[np.clip(side, 0, len(cp) - 1)]
-        bad |= there & (row[np.clip(side, 0, len(cp) - 1)] == row[start]) & (g["odd"][c] | letters_only & strange[np.clip(side, 0, len(cp) - 1)])
+        side = np.clip(side, 0, len(cp) - 1)
+        bad |= there & (row[side] == row[start]) & (kind[side] & np.where(letters_only, STRANGE, ODD).astype(np.uint8) > 0)
     keep = ~bad & ~(letters_only & (stop - start < 2))
     start, stop = start[keep], stop[keep]
-    digit, small = t["digit"][cp], g["digit_letter"][cp]
-    c_digit, c_small = (np.concatenate([[0], np.cumsum(x)]) for x in (digit, small))
-    nd, ns, size = c_digit[stop] - c_digit[start], c_small[stop] - c_small[start], stop - start
-    number = (nd > 0) & (nd + ns == size)
-    inside = np.zeros(len(cp) + 1, np.int32)
-    np.add.at(inside, start[number], 1)
-    np.add.at(inside, stop[number], -1)
-    of_number = np.cumsum(inside[:-1]) > 0
-    word = np.where(digit & of_number, np.uint32(48), cp)
-    key = g["rep"][np.where(of_number, np.uint32(ord("o")), cp)]
+    size = stop - start
+    number = np.flatnonzero(c_digit[stop] > c_digit[start])
+    c_either = _counts(kind & (DIGIT | SMALL) > 0)
+    number = number[(c_either[stop] - c_either[start] == size)[number]]
+    inside = np.repeat(start[number] - np.cumsum(size[number]) + size[number], size[number]) + np.arange(size[number].sum())  # the places within numbers
+    word, key = cp.copy(), g["rep"][cp]
+    word[inside[kind[inside] & DIGIT > 0]] = 48
+    key[inside] = g["rep"][ord("o")]
     rn = np.flatnonzero((cp[:-1] == ord("r")) & (cp[1:] == ord("n")))
     key[rn] = ord("m")
     key[rn + 1] = 0  # hashed as nothing
     s_word = sums(word)
     live = key > 0
-    at = np.concatenate([[0], np.cumsum(live)])
+    at = _counts(live)
     s_key = sums(key[live])
     h, k = span_hash(s_word, start, stop), span_hash(s_key, at[start], at[stop])
     r = row[start].astype(np.int64)
-    # windows around hanzi that have look-alikes, over the text without spaces; EDGE stands beyond a page's ends
-    solid = ~t["space"][cp]
-    r2 = row[solid]
+    # windows around hanzi that have look-alikes, over the text without spaces of the pages that hold any; EDGE stands beyond a page's ends
+    shown = np.zeros(b.rows, bool)
+    shown[row[kind & LOOKS > 0]] = True
+    solid = np.flatnonzero((kind & SPACE == 0) & shown[row])
+    r2, kind = row[solid], kind[solid]
     spot = np.arange(len(r2)) + 4 * (r2.astype(np.int64) + 1)
     c2 = np.full(len(r2) + 4 * (b.rows + 1), EDGE, np.uint32)
-    c2[spot] = np.where(digit, np.uint32(48), cp)[solid]
-    here = np.flatnonzero(g["han"][c2[spot]] > 0)
-    c_odd = np.concatenate([[0], np.cumsum(g["odd"][c2])])
-    here = here[c_odd[spot[here] + 3] == c_odd[spot[here] - 2]]
+    c2[spot] = np.where(kind & DIGIT > 0, np.uint32(48), cp[solid])
+    here = np.flatnonzero(kind & LOOKS)
+    odd = g["kind"][c2[spot[here] - 2]]
+    for d in (-1, 0, 1, 2):
+        odd = odd | g["kind"][c2[spot[here] + d]]
+    here = here[odd & ODD == 0]
     centre, r2 = spot[here], r2[here]
     s2 = sums(c2)
     hw = span_hash(s2, centre - 2, centre + 3)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -244,3 +245,20 @@ def test_reading_levels(spark, make_dir):
     level = {r.doc_id: r for r in R.reading_levels(df, share=0.5).collect()}
     assert level[90].level == level[40].level and level[90].lang == "en" and level[91].level is None and level[92].level is None
     assert level[0].unfamiliar_share == 0 and level[40].unfamiliar_share > 0.5
+
+
+def test_words_of_a_batch_are_those_of_its_texts_and_pages_without_look_alikes_have_no_windows():
+    texts = ["the insu-\nred pays 3O days, 12 or ٣", "", None, "本公司按 约定1给付保险金，", "short", "日é 曰-\n9ft rn modern burn\nnext", "日曰", "锟日本"] * 3
+    parts = lambda w: [*zip(w["hash"].tolist(), w["key"].tolist(), w["text"](np.arange(len(w["hash"]))), map(tuple, w["ctx"](np.arange(len(w["hash"]))).tolist()))]
+    together = S.batch_words(texts, units=True)
+    alone = [S.batch_words([t, "padding for the least size"]) for t in texts]
+    for i, w in enumerate(alone):
+        assert sorted(x for x, r in zip(parts(together), together["row"]) if r == i) == sorted(x for x, r in zip(parts(w), w["row"]) if r == 0)
+    # a character's kind is looked up once: arrays as long as the text are few (124 bytes a character before)
+    english = ["the insured person pays 30 days "] * 6000
+    S.batch_words(english)
+    tracemalloc.start()
+    S.batch_words(english)
+    most = tracemalloc.get_traced_memory()[1] / sum(map(len, english))
+    tracemalloc.stop()
+    assert most < 90
