@@ -107,3 +107,11 @@ def shuffles_no_pairs(df):
 @pytest.mark.parametrize("name", ["bm25_topk"])
 def test_searches_shuffle_the_best_only(spark, name):
     assert shuffles_no_pairs(registry.QUERIES[name](spark, DATA))
+
+
+@tables
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_all_cases_are_asked(spark, name):
+    cases = spark.read.parquet(f"{DATA}/silver_case.parquet").select(F.regexp_extract("case_id", "([0-9]+)$", 1).cast("bigint")).distinct().count()
+    assert registry.QUERIES[name](spark, DATA).select("query_id").distinct().count() == cases > 1
+    assert "% 50" not in registry.SQL[name]
