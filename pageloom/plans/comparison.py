@@ -39,9 +39,9 @@ def length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the coverage difference between the first unit and the first five, and between three and five, over the questions."""
-    from .spans import coverage_at_k
+    from .spans import EVERY, coverage_at_k
 
-    c = coverage_at_k(spark, sf_dir)
+    c = coverage_at_k(spark, sf_dir, EVERY)
     rows = F.array(F.struct(F.lit("cov_5_minus_1").alias("name"), (F.col("cov_5") - F.col("cov_1")).alias("difference")), F.struct(F.lit("cov_5_minus_3").alias("name"), (F.col("cov_5") - F.col("cov_3")).alias("difference")))
     return compare.paired_intervals(c.select(F.col("query_id").alias("case_id"), F.explode(rows).alias("x")).select("case_id", "x.*"))
 

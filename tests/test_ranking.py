@@ -14,7 +14,8 @@ from pageloom.functions import text as T
 from pageloom.operators import lexical, ranking
 from pageloom.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+#: The second folder has cases whose numbers are divisible by 50.
+DATA, ASKED = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 TEXTS = ["", "保A1险b 金", "a a B", "一x鿿y㐀", "𠀀保퟿险é", "Versicherungsnehmer " * 3 + "Versicherungsnehmex", "0" * 11 + " " + "0" * 10, "条款\0条款\n条 款", "x" * 5000, "保保保险"]
 
@@ -104,14 +105,15 @@ def shuffles_no_pairs(df):
 
 
 @tables
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "overlap_fallback"])
 def test_searches_shuffle_the_best_only(spark, name):
-    assert shuffles_no_pairs(registry.QUERIES[name](spark, DATA))
+    assert shuffles_no_pairs(registry.QUERIES[name](spark, ASKED))
 
 
 @tables
 @pytest.mark.parametrize("name", ["bm25_topk"])
 def test_all_cases_are_asked(spark, name):
-    cases = spark.read.parquet(f"{DATA}/silver_case.parquet").select(F.regexp_extract("case_id", "([0-9]+)$", 1).cast("bigint")).distinct().count()
+    of = "silver_case" if name == "bm25_topk" else "evidence_span"
+    cases = spark.read.parquet(f"{DATA}/{of}.parquet").where("span_kind = 'evidence'" if of == "evidence_span" else "true").select(F.regexp_extract("case_id", "([0-9]+)$", 1).cast("bigint")).distinct().count()
     assert registry.QUERIES[name](spark, DATA).select("query_id").distinct().count() == cases > 1
     assert "% 50" not in registry.SQL[name]
