@@ -111,7 +111,7 @@ def test_searches_shuffle_the_best_only(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "coverage_at_k"])
 def test_all_cases_are_asked(spark, name):
     of = "silver_case" if name == "bm25_topk" else "evidence_span"
     cases = spark.read.parquet(f"{DATA}/{of}.parquet").where("span_kind = 'evidence'" if of == "evidence_span" else "true").select(F.regexp_extract("case_id", "([0-9]+)$", 1).cast("bigint")).distinct().count()
