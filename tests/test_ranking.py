@@ -105,7 +105,7 @@ def shuffles_no_pairs(df):
 
 
 @tables
-@pytest.mark.parametrize("name", ["bm25_topk", "overlap_fallback", "rerank_topk", "coverage_at_k", "coverage_by_stratum", "token_budget_fold", "hard_negative_confusion", "irrelevant_context", "strategy_cases", "strategy_guardrails"])
+@pytest.mark.parametrize("name", ["bm25_topk", "overlap_fallback", "rerank_topk", "coverage_at_k", "coverage_by_stratum", "token_budget_fold", "hard_negative_confusion", "irrelevant_context", "strategy_cases", "strategy_guardrails", "strategy_choice"])
 def test_searches_shuffle_the_best_only(spark, name):
     assert shuffles_no_pairs(registry.QUERIES[name](spark, ASKED))
 
