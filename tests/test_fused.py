@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import evaluate, fused, fusion, lexical, vector
-from pageloom.plans import registry
+from pageloom.plans import registry, selection
 
 DATA, ASKED = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(ASKED), reason="no test tables")
@@ -63,6 +63,16 @@ def test_nearest_vectors(spark, monkeypatch):
     assert rows(vector.nearest(q, u, 4), "query_id", "rank", "unit_id", "score") == rows(vector.cosine_topk(q, u, 4), "query_id", "rank", "unit_id", "score")
 
 
+@tables
+def test_all_cases_are_searched_in_their_sources(spark, monkeypatch):
+    found = rows(registry.QUERIES["source_evaluation"](spark, ASKED), "case_id", "expected_rank", "passed")
+    cases = spark.read.parquet(f"{ASKED}/evidence_span.parquet").where("span_kind = 'evidence'").select("case_id").distinct().count()
+    assert len(found) == cases > 100
+    # the largest source as a corpus of its own
+    monkeypatch.setattr(selection.fused, "ALONE", 100)
+    assert rows(registry.QUERIES["source_evaluation"](spark, ASKED), "case_id", "expected_rank", "passed") == found
+
+
 @tables
 @pytest.mark.parametrize("name", ["source_evaluation", "rrf_fusion"])
 def test_full_rankings_are_not_shuffled(spark, name):
