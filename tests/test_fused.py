@@ -74,7 +74,7 @@ def test_all_cases_are_searched_in_their_sources(spark, monkeypatch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["source_evaluation", "rrf_fusion"])
+@pytest.mark.parametrize("name", ["source_evaluation", "source_evaluation_summary", "rrf_fusion"])
 def test_full_rankings_are_not_shuffled(spark, name):
     plan = registry.QUERIES[name](spark, ASKED)._jdf.queryExecution().optimizedPlan().toString()
     # no row of each question and word, or page with a word in common
